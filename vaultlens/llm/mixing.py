@@ -36,7 +36,8 @@ WEIGHTS, CAP, SEED = (5, 2, 1), 3, 11
 CAPACITY, BUCKETS = 1 << 16, 256
 
 
-def sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def sizes(docs: DataFrame, seed: int = SEED, whole: bool = False) -> DataFrame:
+    """Each document's source, words, seeded hash and bucket; whole: and the document as struct row."""
     n = F.size(common.words(F.col("text"))).cast("long")
     return docs.select(
         "doc_id",
@@ -44,6 +45,7 @@ def sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
         F.coalesce("source", F.lit("")).alias("source"),
         n.alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []),
     ).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
 
 
@@ -104,22 +106,24 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CA
 
 
 def fitted(cells: DataFrame, wanted: DataFrame) -> DataFrame:
-    """no_source, source, size, passes (whole repeats) and quota (documents that get one more)."""
+    """no_source, source, size, quota: documents that get one more than the source's whole repeats."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
         whole, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         passes = int(target // whole) if whole else 0
-        pdf["passes"] = passes
         pdf["quota"] = fit(pdf["size"].to_numpy(), pdf["n"].to_numpy(), round(target) - passes * whole)
-        return pdf[["no_source", "source", "size", "passes", "quota"]]
+        return pdf[["no_source", "source", "size", "quota"]]
 
     joined = cells.join(wanted, ["no_source", "source"]).filter("size > 0")
-    return joined.groupBy("no_source", "source").applyInPandas(one, "no_source boolean, source string, size long, passes int, quota long")
+    return joined.groupBy("no_source", "source").applyInPandas(one, "no_source boolean, source string, size long, quota long")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """Every document with its source's size and target and the words that the mix takes of it."""
+def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, whole: bool = False) -> DataFrame:
+    """sizes(docs) with source_size, target and times: how often the mix takes the document.
+
+    Documents without words are taken as often as their source is taken whole.
+    """
     rows = common.stored(sizes(docs, seed), "mixing")
     by_bucket = rows.groupBy("no_source", "source", "size", "bucket").agg(F.count("*").alias("n"))
     cells = common.stored(by_bucket.groupBy("no_source", "source", "size").agg(F.sum("n").alias("n")), "mixing")
@@ -128,12 +132,24 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
     # the buckets of a length are emptied in turn; at most BUCKETS rows stand in one window
     before = "coalesce(sum(n) over (partition by no_source, source, size order by bucket rows between unbounded preceding and 1 preceding), 0)"
     buckets = by_bucket.selectExpr("*", f"{before} as before").join(quotas, ["no_source", "source", "size"])
-    buckets = buckets.selectExpr("no_source", "source", "size", "bucket", "passes", "greatest(0, least(n, quota - before)) as more")
+    buckets = buckets.selectExpr("no_source", "source", "size", "bucket", "greatest(0, least(n, quota - before)) as more")
     place = "row_number() over (partition by no_source, source, size, bucket order by h, doc_id)"
-    taken = f"cast(size * (coalesce(passes, 0) + if({place} <= coalesce(more, 0), 1, 0)) as bigint)"
+    passes = "if(source_size = 0, 0, cast(floor(target / source_size) as int))"
+    dealt = sizes(docs, seed, whole=True) if whole else rows
     return (
-        rows.join(buckets, ["no_source", "source", "size", "bucket"], "left")
-        .selectExpr("doc_id", "no_source", "source", "size", f"{taken} as taken", "h")
+        dealt.join(buckets, ["no_source", "source", "size", "bucket"], "left")
+        .withColumn("more", F.expr(f"if({place} <= coalesce(more, 0), 1, 0)"))
         .join(wanted, ["no_source", "source"])
-        .selectExpr("doc_id", "if(no_source, null, source) as source", "size", "source_size", "target", "taken", "h")
+        .withColumn("times", F.expr(f"{passes} + more"))
     )
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """Every document with its source's size and target and the words that the mix takes of it."""
+    return taken(docs, weights, cap, seed).selectExpr("doc_id", "if(no_source, null, source) as source", "size", "source_size", "target", "size * times as taken")
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """The documents as often as the mix takes them, with the columns they came with."""
+    rows = taken(docs, weights, cap, seed, whole=True).filter("times > 0")
+    return rows.select(F.explode(F.expr("array_repeat(row, times)")).alias("row")).select("row.*")

@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality, sharding, simhash
+from . import common, decontam, licences, mixing, quality, sharding, simhash, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the token files."""
+    import public_tokenizers
+
+    path = common.new_path(spark, "tokens")
+    tokens.write(_read(spark, sf_dir, "documents"), path, public_tokenizers.path(tokens.TOKENIZER))
+    return tokens.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document."""
-    return mixing.mixed(_read(spark, sf_dir, "documents")).drop("h")
+    return mixing.mixed(_read(spark, sf_dir, "documents"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +37,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_read(spark, sf_dir, "documents")).select(*columns)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, word_at, edits of every benchmark item that a document contains."""
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, by the law of equal row counts."""
     rows = sharding.assigned(_read(spark, sf_dir, "documents"))
     return rows.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_simhash, op4_quality_rules, op7_shard)}
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, licence, first_sentence, times, rules of every licence that a document states."""
+    return licences.licences(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_mix_sources, op3_simhash, op4_quality_rules, op6_decontaminate, op7_shard, op8_licences)}
 
 #: DuckDB SQL for the same rows; the other queries have a brute-force test instead.
 ORACLES: dict[str, str] = {
