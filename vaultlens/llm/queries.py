@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontam, licences, mixing, quality, sharding, simhash, tokens
+from . import common, decontam, licences, linetemplates, mixing, quality, sharding, simhash, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,10 +53,43 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_mix_sources, op3_simhash, op4_quality_rules, op6_decontaminate, op7_shard, op8_licences)}
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, the kept text's length and md5, of every document."""
+    rows = linetemplates.cleaned(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"), F.md5(F.encode(text, "UTF-8")).alias("kept_md5"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_mix_sources, op3_simhash, op4_quality_rules, op6_decontaminate, op7_shard, op8_licences, op10_line_templates)}
 
 #: DuckDB SQL for the same rows; the other queries have a brute-force test instead.
 ORACLES: dict[str, str] = {
+    "op10_line_templates": r"""
+with d as materialized (select row_number() over () as rid, doc_id, coalesce(text, '') as t, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as materialized (
+  select rid, doc_id, t, pos, words, array_to_string(words, ' ') as line, concat_ws(' ', len(words), array_to_string(words[1:3], ' ')) as leaf
+  from (
+    select rid, doc_id, t, pos, list_transform(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda w: w <> ''), lambda w: case when regexp_matches(w, '[0-9]') then '<*>' else w end) as words
+    from (select rid, doc_id, t, unnest(ls) as l, unnest(range(len(ls))) as pos from d))
+  where len(words) > 0),
+c as materialized (select leaf, line, any_value(words) as words, count(distinct (doc_id, t)) as docs from l group by leaf, line),
+leaves as (select leaf from c group by leaf having sum(docs) >= 3 and min(docs) < 3),
+w as materialized (select leaf, line, docs, unnest(words) as word, unnest(range(len(words))) as place from c where leaf in (from leaves)),
+k as materialized (select leaf, place, word from w group by all having sum(docs) >= 3),
+x as materialized (
+  select w.leaf, w.line, count(*) as n, count(k.word) as fixed, string_agg(case when k.word is null then '<*>' else w.word end, ' ' order by w.place) as template
+  from w left join k on w.leaf = k.leaf and w.place = k.place and w.word = k.word where docs < 3 group by w.leaf, w.line),
+y as materialized (select leaf, line, template from x where fixed >= 0.6 * n),
+r as (select template, leaf from y join l using (leaf, line) group by template, leaf having count(distinct (doc_id, t)) >= 3),
+gone as materialized (select leaf, line from c where docs >= 3 union select leaf, line from y join r using (template, leaf)),
+g as (select rid, list(pos) as dropped from l join gone using (leaf, line) group by rid),
+n as (select rid, count(*) as n_lines from l group by rid),
+z as (
+  select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(len(dropped), 0) as n_dropped,
+    case when dropped is null then t else array_to_string(list_transform(list_filter(range(len(ls)), lambda i: not list_contains(dropped, i)), lambda i: ls[i + 1]), chr(10)) end as kept
+  from d left join n using (rid) left join g using (rid))
+select doc_id, cast(n_lines as bigint) as n_lines, cast(n_dropped as bigint) as n_dropped, cast(length(kept) as bigint) as kept_chars, md5(kept) as kept_md5 from z
+""",
     "op4_quality_rules": r"""
 with d as materialized (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as t from documents),
 w as materialized (select rid, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as l, t from d),
