@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontam, licences, linetemplates, mixing, quality, sharding, simhash, tokens
+from . import common, decontam, licences, linetemplates, mixing, quality, sharding, simhash, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_read(spark, sf_dir, "documents")).select(*columns)
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, page (canonical URL), outcome, response_id and the merged headers as text, of every recheck of a page."""
+    found = warc.resolved(warc.records_of_pages(_read(spark, sf_dir, "pages")))
+    text = "array_join(transform(array_sort(map_entries(headers)), e -> concat(e.key, ': ', e.value)), '\n')"
+    return found.selectExpr("record_id as page_id", "page", "outcome", "response_id", f"{text} as merged_headers")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, word_at, edits of every benchmark item that a document contains."""
     return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -60,10 +67,31 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"), F.md5(F.encode(text, "UTF-8")).alias("kept_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_mix_sources, op3_simhash, op4_quality_rules, op6_decontaminate, op7_shard, op8_licences, op10_line_templates)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_mix_sources, op3_simhash, op4_quality_rules, op5_warc_revisits, op6_decontaminate, op7_shard, op8_licences, op10_line_templates)}
 
 #: DuckDB SQL for the same rows; the other queries have a brute-force test instead.
 ORACLES: dict[str, str] = {
+    "op5_warc_revisits": r"""
+with p as materialized (
+  select page_id, 1700000000 + page_id as t, case when coalesce(html, '') = '' then null else '"' || md5(html)[1:16] || '"' end as tag, octet_length(encode(coalesce(html, ''))) as n,
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as rest
+  from pages),
+q as materialized (
+  select *, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(lower(x), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid)(=|$)'))) as params,
+    regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), ':(80|443)$', '') || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') as place
+  from p),
+c as materialized (select page_id, t, tag, n, place || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end as page from q),
+m as (
+  select v.page_id, v.page, v.tag, v.t, arg_max(r.page_id, (r.t, r.page_id)) as response_id
+  from c v left join c r on v.page = r.page and r.t < v.t + 86400 group by all),
+f as (
+  select m.page_id, m.page, m.tag, m.t, response_id, r.tag as stored, r.n,
+    case when response_id is null then 'unmatched' when m.tag is null then 'no_validator' when m.tag = r.tag then 'resolved' else 'mismatch' end as outcome
+  from m left join c r on r.page_id = response_id)
+select page_id, page, outcome, response_id,
+  case when outcome = 'resolved' then 'cache-control: max-age=60' || chr(10) || 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || strftime(to_timestamp(t + 86400) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') || chr(10) || 'etag: W/' || tag end as merged_headers
+from f
+""",
     "op10_line_templates": r"""
 with d as materialized (select row_number() over () as rid, doc_id, coalesce(text, '') as t, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 l as materialized (
