@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontam, licences, linetemplates, mixing, quality, sharding, simhash, tokens, warc
+from . import common, decontam, licences, linetemplates, mixing, quality, sharding, simhash, tokens, warc, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(_read(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return wrappers.extracted(_read(spark, sf_dir, "pages"))
+
+
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, the kept text's length and md5, of every document."""
     rows = linetemplates.cleaned(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -67,7 +72,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"), F.md5(F.encode(text, "UTF-8")).alias("kept_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_mix_sources, op3_simhash, op4_quality_rules, op5_warc_revisits, op6_decontaminate, op7_shard, op8_licences, op10_line_templates)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_mix_sources, op3_simhash, op4_quality_rules, op5_warc_revisits, op6_decontaminate, op7_shard, op8_licences, op9_main_text, op10_line_templates)}
 
 #: DuckDB SQL for the same rows; the other queries have a brute-force test instead.
 ORACLES: dict[str, str] = {
