@@ -17,7 +17,7 @@ Selector 0 is an escape: the low bits count the raw 64-bit words that follow, fo
 Offsets let a reader decode blocks on their own, and all words of one selector
 decode in one vector operation.
 
-Rows are tokenized where they lie, dealt to ranges of doc_id and sorted there, so that files follow
+Rows are dealt to ranges of doc_id, sorted and tokenized there, so that files follow
 each other; a partition writes files of at most FILE_IDS ids (or one document). A
 task's files have names of their own and count only through the manifest, which
 is written last, so repeated or lost tasks leave no trace. Files are written
@@ -34,6 +34,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,41 +53,48 @@ BLOCK, FILE_IDS, END_ID = 4096, 4_000_000, 2
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def pack(values: np.ndarray) -> np.ndarray:
-    """One block's words."""
+def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all blocks, and each block's first word and the end."""
     values = np.asarray(values, np.uint64)
-    n = len(values)
-    places = np.arange(n)
-    # for each width the first place from here on whose value doesn't fit; past the end all fit
-    bits = np.zeros(n, np.int64)
-    for w in (0, *WIDTHS):
-        bits += values >= np.uint64(1 << w)
-    many, selector = np.ones(n, np.int64), np.zeros(n, np.int64)
+    n, rows = len(values), -(-len(values) // block)
+    padded = np.zeros(rows * block + ZEROS, np.uint64)
+    padded[:n] = values
+    bits = np.searchsorted(np.array([1 << w for w in (0, *WIDTHS)], np.uint64), padded[: rows * block], "right").astype(np.int8).reshape(rows, block)
+    places = np.arange(block, dtype=np.int32)[None, :]
+    many, selector = np.ones(bits.shape, np.int32), np.zeros(bits.shape, np.int8)
     for k in range(len(COUNTS), -1, -1):
+        # the first place from here on whose value doesn't fit; past a block's end all fit
         count = COUNTS[k - 1] if k else ZEROS
-        stop = np.where(bits > k, places, n + ZEROS)
-        stop = np.minimum.accumulate(stop[::-1])[::-1]
+        stop = np.where(bits > k, places, np.int32(block + ZEROS))
+        stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
         fits = stop - places >= count
         many[fits], selector[fits] = count, k or 15
-    starts, at, step = [], 0, many.tolist()
-    while at < n:
-        starts.append(at)
-        at += step[at]
+    starts, sizes = [], []
+    for row, step in enumerate(many):
+        at, last, step, had = 0, min(block, n - row * block), step.tolist(), len(starts)
+        while at < last:
+            starts.append(row * block + at)
+            at += step[at]
+        sizes.append(len(starts) - had)
     starts = np.array(starts, np.int64)
-    chosen = selector[starts]
+    chosen = selector.ravel()[starts]
     words = chosen.astype(np.uint64) << np.uint64(PAYLOAD)
-    padded = np.concatenate([values, np.zeros(ZEROS, np.uint64)])
+    # a block's last word may reach past its end: what lies there isn't the block's
+    ends = (starts // block + 1) * block
     for k in range(1, len(COUNTS) + 1):
         mine = np.flatnonzero(chosen == k)
         if len(mine):
-            group = padded[starts[mine][:, None] + np.arange(COUNTS[k - 1])]
+            place = starts[mine][:, None] + np.arange(COUNTS[k - 1])
+            group = np.where(place < ends[mine][:, None], padded[place], np.uint64(0))
             shifts = (np.arange(COUNTS[k - 1]) * WIDTHS[k - 1]).astype(np.uint64)
             words[mine] |= np.bitwise_or.reduce(group << shifts, axis=1)
+    sizes = np.array(sizes, np.int64)
     if (raw := np.flatnonzero(chosen == 0)).size:
         out = np.insert(words, raw + 1, values[starts[raw]])
         out[raw + np.arange(len(raw))] = 1  # escape, one raw word follows
-        return out
-    return words
+        sizes += np.bincount(starts[raw] // block, minlength=rows)
+        words = out
+    return words, np.concatenate(([0], np.cumsum(sizes)))
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, total: int, block: int = BLOCK) -> np.ndarray:
@@ -124,18 +132,19 @@ def unpack(words: np.ndarray, offsets: np.ndarray, total: int, block: int = BLOC
 
 
 def file_bytes(doc_ids: list[int | None], lengths: list[int], values: np.ndarray) -> bytes:
-    blocks = [pack(values[at : at + BLOCK]) for at in range(0, len(values), BLOCK)]
-    offsets = np.concatenate(([0], np.cumsum([len(b) for b in blocks]))).astype(np.uint64)
+    # many blocks at a time, so that the work arrays stay small
+    some = [pack(values[at : at + 64 * BLOCK]) for at in range(0, len(values), 64 * BLOCK)]
+    offsets = np.concatenate(([0], np.cumsum([n for _, o in some for n in np.diff(o)]))).astype(np.uint64)
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     parts = [
         MAGIC,
-        np.array([len(doc_ids), len(values), len(blocks), int(offsets[-1])], "<u8"),
+        np.array([len(doc_ids), len(values), len(offsets) - 1, int(offsets[-1])], "<u8"),
         np.array([d or 0 for d in doc_ids], "<i8"),
         nulls,
         bytes(-len(nulls) % 8),
         np.array(lengths, "<u8"),
         offsets.astype("<u8"),
-        *[b.astype("<u8") for b in blocks],
+        *[w.astype("<u8") for w, _ in some],
     ]
     return b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
 
@@ -154,56 +163,75 @@ def parse(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(names, nulls.tolist())], lengths, values
 
 
+class Parts(dict):
+    """Ids (bytes) of a text's space-separated parts, each encoded when it is first seen.
+
+    A part stands for itself behind a space, or from a line end on. The pattern cuts letters from what follows them, and
+    a line end from what is no white space on both sides; so a part of lines is the sequence of its lines, and letters
+    with a full stop or comma are two pieces. Anything else is encoded as it is.
+    """
+
+    LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([.,]?)")
+    #: Byte-level alphabet: printable bytes are their own characters, the others follow behind Latin-1's.
+    PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    ALPHABET = dict(zip(PLAIN, PLAIN)) | {x: 256 + k for k, x in enumerate(sorted({*range(256)}.difference(PLAIN)))}
+
+    def __init__(self, whole):
+        super().__init__()
+        self.whole, self.model = whole, whole.model
+
+    def piece(self, text: str) -> bytes:
+        """Ids of one piece of the pattern."""
+        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.ALPHABET))]).tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        line = part[:1] == "\n"
+        if not line and (m := self.LETTERS.fullmatch(part)):
+            ids = self[m[1]] + self.piece(m[2]) if m[2] else self.piece(f" {part}")
+        elif not line and "\n" in part and all(lines := part.split("\n")) and not any(map(str.isspace, part.replace("\n", ""))):
+            return self[lines[0]] + b"".join([self["\n" + x] for x in lines[1:]])
+        else:
+            ids = array("I", self.whole.encode(part if line else f" {part}", add_special_tokens=False).ids).tobytes()
+        self[part] = ids
+        return ids
+
+
 class Encoder:
     """Whole texts to ids, as the tokenizer's own encode gives them.
 
-    Byte-level BPE never merges across the pieces that its pattern cuts, and the
-    pattern always cuts before a space that follows a character other than white space. A text
-    without white space before a space is the sequence of its space-separated
-    parts, and each part is encoded once for as long as it is remembered (about
-    ``memory`` parts). Other texts, and texts for other kinds of tokenizers, are encoded in one piece.
+    Byte-level BPE never merges across the pieces that its pattern cuts, and the pattern always cuts before a space that
+    follows a character other than white space. So a text without white space beside a space is the sequence
+    of its Parts (of which about ``memory`` are remembered). Other texts, and texts for other kinds of tokenizers, are
+    encoded in one piece.
     """
 
-    UNSAFE = re.compile(r"\s ")
+    UNSAFE = re.compile(r"\s | \s")
 
     def __init__(self, tokenizer: str, memory: int = 800_000):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.whole = Tokenizer.from_file(tokenizer)
         self.whole.encode_special_tokens = True
-        cut = self.whole.pre_tokenizer
+        cut, model = self.whole.pre_tokenizer, self.whole.model
         self.parts = isinstance(cut, pre_tokenizers.ByteLevel) and not cut.add_prefix_space and cut.use_regex and self.whole.normalizer is None
-        self.memory, self.known = memory, {}
+        self.parts = self.parts and isinstance(model, models.BPE) and not model.dropout and not (model.continuing_subword_prefix or model.end_of_word_suffix)
+        self.memory, self.known = memory, Parts(self.whole)
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """32-bit little-endian ids of each text."""
-        cut = {k: t.split(" ") for k, t in enumerate(texts) if self.parts and not self.UNSAFE.search(t)}
         if len(self.known) > self.memory:
-            self.known = {}
-        new = list({w for ws in cut.values() for w in ws[1:]}.difference(self.known))
-        self.known.update(zip(new, self._bytes([f" {w}" for w in new])))
-        firsts = self._bytes([cut[k][0] if k in cut else t for k, t in enumerate(texts)])
-        get = self.known.__getitem__
-        return [first + b"".join(map(get, cut[k][1:])) if k in cut else first for k, first in enumerate(firsts)]
-
-
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, h (orders equal doc_ids), ids: 32-bit little-endian ids with the end id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                batch = whole.slice(low, 1000)
-                ids = [raw + end for raw in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(ids, pa.binary())], names=["doc_id", "h", "ids"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, "doc_id long, h long, ids binary")
+            self.known = Parts(self.whole)
+        get, out = self.known.__getitem__, []
+        for text in texts:
+            if self.parts and text and not self.UNSAFE.search(text):
+                first, *rest = text.split(" ")
+                out.append((self._whole([first])[0] if first else b"") + b"".join(map(get, rest)))
+            else:
+                out += self._whole([text])
+        return out
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
@@ -225,9 +253,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file
             return pa.RecordBatch.from_pydict({"part": [part], "file_no": [made], "file": [name], "n_docs": [len(names)], "n_tokens": [held]}, pa.schema([("part", pa.int32()), ("file_no", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         store.create_dir(root, recursive=True)
-        for batch in batches:
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                ids = np.frombuffer(raw.as_buffer(), "<u4")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder, end = Encoder(tokenizer), array("I", [end_id]).tobytes()
+        pieces = (batch.slice(low, 1000) for batch in batches for low in range(0, batch.num_rows, 1000))
+        for batch in pieces:
+            encoded = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoded):
+                ids = np.frombuffer(raw + end, "<u4")
                 if names and held + len(ids) > file_ids:
                     yield flush()
                     names, lengths, values, held = [], [], [], 0
@@ -238,8 +270,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file
         if names:
             yield flush()
 
-    ordered = tokenized(docs, tokenizer, end_id).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "h")
-    files = ordered.select("doc_id", "ids").mapInArrow(run, "part int, file_no int, file string, n_docs long, n_tokens long")
+    # texts are dealt before they become ids: the sampling of ranges then reads doc_ids alone
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    files = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "part int, file_no int, file string, n_docs long, n_tokens long")
     # one row for each file: the tasks that count are those whose rows arrive here
     rows = docs.sparkSession.createDataFrame(files.collect(), files.schema)
     start = "coalesce(sum(n_tokens) over (order by part, file_no rows between unbounded preceding and 1 preceding), 0)"
