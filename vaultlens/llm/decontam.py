@@ -56,22 +56,22 @@ class Index:
         self.walks: list[tuple[np.ndarray, list[np.ndarray]]] = []
         by_length = {n: [k for k, (_, w) in enumerate(self.items) if len(w) == n] for n in self.lengths}
         trial = {n: [k for k in rng.permutation(len(self.items))[:TRIALS] if len(self.items[k][1]) == n] for n in self.lengths}
-        joined = {n: np.concatenate([self.items[k][1] for k in mine]) for n, mine in by_length.items()}
-        edited = {n: np.concatenate([self._edited(self.items[k][1], self.edits(n), rng) for k in mine]) for n, mine in trial.items() if mine}
+        joined = {n: np.concatenate([*[self.items[k][1] for k in mine], np.zeros(2 * n, np.int64)]) for n, mine in by_length.items()}
+        edited = {n: np.concatenate([*[self._edited(self.items[k][1], self.edits(n), rng) for k in mine], np.zeros(2 * n, np.int64)]) for n, mine in trial.items() if mine}
         found = {n: np.zeros(len(mine), bool) for n, mine in trial.items()}
         self.recall, self.tables = 1.0, {}
-        self.known = {n: np.isin(np.arange(len(self.vocabulary) + 1), joined[n]) for n in self.lengths}
+        self.known = {n: np.isin(np.arange(len(self.vocabulary) + 1), joined[n][: -2 * n]) for n in self.lengths}
         while self.items and len(self.walks) < WALKS and (not self.walks or self.recall < recall):
             factors = rng.integers(1, 1 << 62, 2 * self.longest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             self.walks.append((factors, [np.sort(rng.random(SAMPLE)) for _ in range(TABLES)]))
-            walk = len(self.walks) - 1
+            walk, last = len(self.walks) - 1, range(len(self.walks) - 1, len(self.walks))
             for n, mine in by_length.items():
-                keys = self.keys(joined[n], np.arange(len(mine)) * n, n, walk)
+                keys = self.keys(joined[n], np.arange(len(mine)) * n, n, last)[0]
                 for table in range(TABLES):
                     order = np.argsort(keys[table], kind="stable")
                     self.tables[n, walk, table] = keys[table][order], np.array(mine)[order]
                 if trial[n]:
-                    copies = self.keys(edited[n], np.arange(len(trial[n])) * 2 * n, n, walk)
+                    copies = self.keys(edited[n], np.arange(len(trial[n])) * 2 * n, n, last)[0]
                     found[n] |= (copies == keys[:, np.searchsorted(mine, trial[n])]).any(0)
             self.recall = float(np.concatenate(list(found.values())).mean())
 
@@ -86,19 +86,21 @@ class Index:
             out[at : at + (kind != 2)] = [] if kind == 0 else [0]
         return np.array((out + [0] * 2 * len(w))[: 2 * len(w)], np.int64)
 
-    def keys(self, ids: np.ndarray, starts: np.ndarray, n: int, walk: int) -> np.ndarray:
-        """Each table's key of the n words from each start; words past the end of ids count as unknown."""
-        factors, samples = self.walks[walk]
-        steps = [np.unique((s * 1.6 * n).astype(int)) for s in samples]
-        at, out = starts.copy(), np.full((TABLES, len(starts)), n, np.uint64)
-        ends, ids = starts + n, np.append(ids, np.zeros(2 * n, np.int64))
-        for step in range(max(int(s[-1]) for s in steps) + 1):
+    def keys(self, ids: np.ndarray, starts: np.ndarray, n: int, walks: range) -> np.ndarray:
+        """Key by walk, table and start of the n words from each start. ids go on for 2 n words behind the last start."""
+        steps = {}
+        for row, walk in enumerate(walks):
+            for table, sample in enumerate(self.walks[walk][1]):
+                for step in np.unique((sample * 1.6 * n).astype(int)).tolist():
+                    steps.setdefault(step, []).append((row, table))
+        factors = np.stack([self.walks[walk][0] for walk in walks])
+        out = np.full((len(walks), TABLES, len(starts)), n, np.uint64)
+        at, ends = np.repeat(starts[None, :], len(walks), 0), starts + n
+        for step in range(max(steps) + 1):
             symbol = (ids[at] * (at < ends)).view(np.uint64)
-            mixed = (symbol + np.uint64(1)) * factors[step]
-            for table, chosen in enumerate(steps):
-                if step in chosen:
-                    out[table] = (out[table] ^ symbol) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step)
-            at += (mixed >> np.uint64(40) & np.uint64(1)).view(np.int64)
+            for row, table in steps.get(step, ()):
+                out[row, table] = (out[row, table] ^ symbol[row]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step)
+            at += ((symbol + np.uint64(1)) * factors[:, step, None] >> np.uint64(40) & np.uint64(1)).view(np.int64)
         return out
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -111,11 +113,11 @@ class Index:
             held = np.concatenate((upto[2 * n - 1 :], np.full(min(n - 1, len(ids)), upto[-1])))[: len(ids)] - upto[n - 1 : -1]
             starts = np.flatnonzero((held >= n - self.edits(n)) & known)
             pairs = []
-            for walk in range(len(self.walks)) if len(starts) else ():
-                keys = self.keys(ids, starts, n, walk)
+            keys = self.keys(ids, starts, n, range(len(self.walks))) if len(starts) else ()
+            for walk in range(len(keys)):
                 for table in range(TABLES):
                     have, item = self.tables[n, walk, table]
-                    left, right = np.searchsorted(have, keys[table]), np.searchsorted(have, keys[table], "right")
+                    left, right = np.searchsorted(have, keys[walk, table]), np.searchsorted(have, keys[walk, table], "right")
                     hit = np.flatnonzero(left < right)
                     many = (right - left)[hit]
                     if len(hit):
@@ -145,7 +147,7 @@ class Index:
         pieces, starts, total = [pad], [], len(pad)
 
         def scan() -> None:
-            ids, first = np.concatenate(pieces), np.array([s for _, s in starts])
+            ids, first = np.concatenate([*pieces, np.zeros(2 * self.longest, np.int64)]), np.array([s for _, s in starts])
             for n, at, items in self.candidates(ids):
                 for low in range(0, len(at), 4096):
                     some, which = at[low : low + 4096], items[low : low + 4096]

@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences (at line ends, and after . ! ? ; : before white space), each sentence is
-normalised (lower case, only a-z and 0-9, single spaces) and mapped to the identifier of
+normalised (lower case, letters and digits, single spaces) and mapped to the identifier of
 a known licence sentence, or to 0. The sequence of identifiers is then matched against
 ordered rules: a rule holds where its identifiers stand in a row, and rules are
 tried in order, so a longer rule takes its sentences before a shorter one sees them.
@@ -80,7 +80,7 @@ def sentence_ids(df: DataFrame, sentences: dict[int, str] = SENTENCES) -> DataFr
     # wordless sentences (a closing bracket, a dash) don't break a sequence
     return (
         df.withColumn("_s", F.expr(r"regexp_replace(lower(coalesce(text, '')), '([.!?;:])[\\x20\\x09-\\x0D]+', '$1\n')"))
-        .withColumn("_s", F.expr(r"split(trim(regexp_replace(regexp_replace(_s, '[^a-z0-9\n]+', ' '), ' *\n[ \n]*', '\n')), '\n')"))
+        .withColumn("_s", F.expr(r"split(trim(regexp_replace(regexp_replace(_s, '[^\\p{L}\\p{N}\n]+', ' '), ' *\n[ \n]*', '\n')), '\n')"))
         .withColumn("ids", F.expr(f"transform(filter(_s, s -> s <> ''), s -> coalesce(get(array({names}), cast(array_position(array({known}), s) as int) - 1), 0))"))
         .drop("_s")
     )

@@ -72,7 +72,7 @@ def dropped(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, c
 
 
 def cleaned(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, constant_share: float = CONSTANT_SHARE) -> DataFrame:
-    """The documents with the columns they came with, text without its dropped lines, and n_lines and n_dropped (lines with a word) after them."""
+    """The documents with the columns they came with, text without its dropped lines, and n_lines and n_dropped (lines with a word) after them, in place of columns of these names."""
     gone = dropped(docs, leading, min_docs, constant_share).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = packed.select("row", F.col("row.doc_id").alias("_doc"), F.xxhash64("row.text").alias("_text"))
@@ -80,4 +80,4 @@ def cleaned(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, c
     some = joined.withColumn("_l", F.expr("if(dropped is null, null, split(row.text, '\n'))"))
     kept = "if(dropped is null, row.text, array_join(transform(array_except(sequence(0, size(_l) - 1), dropped), i -> get(_l, i)), '\n'))"
     counts = {"n_lines": F.expr(r"size(filter(split(coalesce(row.text, ''), '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]'))").cast("long"), "n_dropped": F.expr("if(dropped is null, 0, size(dropped))").cast("long")}
-    return some.select(F.col("row").withField("text", F.expr(kept)).alias("row"), *[v.alias(k) for k, v in counts.items()]).select("row.*", *counts)
+    return some.select(F.col("row").withField("text", F.expr(kept)).alias("row"), *[v.alias(k) for k, v in counts.items()]).select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in counts], *counts)
