@@ -2,15 +2,15 @@
 
     sizes(docs)            -> doc_id, source, size (words)
     targets(sizes)         -> each source's size and target words
-    fitted(cells, targets) -> how many documents of each exact length a source adds
+    fitted(cells, targets) -> how many copies of documents of each exact length a source takes
     mixed(docs)            -> doc_id, source, size, source_size, target, taken
 
-A source's target is the whole of it some times over plus a rest. Documents are
-counted by exact length. The rest is first given to every length in proportion;
+Documents are counted by exact length. A source's target is first given to every length in proportion;
 what that leaves (less than one document of each length) is filled greedily from
 long to short until at most CAPACITY words are open, and a bounded-knapsack
-dynamic programme over the lengths' remaining counts then finds the largest sum
-that fits. Which documents of a length are added is decided by seeded hash.
+dynamic programme over the lengths' remaining counts then finds the nearest sum, below or above;
+where one more copy of each document gives no exact sum, further ones (up to the cap) join in.
+A length's copies are dealt evenly over its documents; which of them get one more is decided by seeded hash.
 
 What meets in one task is the histogram of one source (one row for each distinct
 length: bounded by the longest text, not by the number of documents). Rows of one
@@ -69,54 +69,77 @@ def targets(cells: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return per.selectExpr("*", f"{level}.level as level").selectExpr("no_source", "source", "source_size", f"cast({target} as double) as target")
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY) -> np.ndarray:
-    """How many of each length to add so that the words come as near below the budget as the method finds."""
-    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
-    whole = int((lengths * counts).sum())
-    quota = np.zeros(len(lengths), np.int64)
-    if budget <= 0 or not whole:
-        return quota
-    if budget >= whole:
-        return np.where(lengths > 0, counts, 0)
-    quota = np.array([int(c) * budget // whole if n > 0 else 0 for n, c in zip(lengths, counts)], np.int64)
-    open_ = budget - int((quota * lengths).sum())
+def _walk(lengths: np.ndarray, start: np.ndarray, limits: list[np.ndarray], open_: int) -> tuple[np.ndarray, int]:
+    """start with what the bounded knapsack adds, and how far the sum stays from open_ words (either side).
+
+    Sums that can be reached are bits of one number; each bundle of a power of two
+    copies of a length shifts them. Bundles that reach nothing new are left out.
+    limits: copies of each length, the later ones only if the earlier give no exact sum.
+    """
+    quota, mask, reach, steps = start.copy(), (1 << (2 * open_ + 1)) - 1, 1, []
+    had = start
+    for limit in limits:
+        for i in np.argsort(lengths, kind="stable"):
+            n, left, k = int(lengths[i]), int(limit[i] - had[i]), 1
+            while 0 < n * k <= 2 * open_ and left > 0 and not reach >> open_ & 1:
+                k = min(k, left)
+                if (now := reach | reach << n * k & mask) != reach:
+                    steps.append((i, k, n * k, reach))
+                    reach = now
+                left -= k
+                k *= 2
+        had = limit
+    below = (reach & ((1 << (open_ + 1)) - 1)).bit_length() - 1
+    above = reach >> open_
+    above = open_ + (above & -above).bit_length() - 1 if above else 3 * open_ + 1
+    at = below if open_ - below <= above - open_ else above
+    gap = abs(at - open_)
+    for i, k, words, before in reversed(steps):
+        if not before >> at & 1:
+            quota[i] += k
+            at -= words
+    return quota, gap
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, target: int, cap: int = CAP, capacity: int = CAPACITY) -> np.ndarray:
+    """How many documents of each length to take (a document at most cap times) so that their words come nearest to target.
+
+    Targets up to capacity get the nearest sum that there is, larger ones the nearest to what the proportional part leaves.
+    """
+    lengths, counts = np.asarray(lengths, np.int64), np.where(np.asarray(lengths) > 0, counts, 0).astype(np.int64)
+    whole, none = int((lengths * counts).sum()), np.zeros(len(lengths), np.int64)
+    if target <= 0 or not whole:
+        return none
+    if target >= cap * whole:
+        return counts * cap
+    # one time more than the whole source fits, and all repeats
+    limits = [counts * min(cap, target // whole + 1), counts * cap]
+    quota = np.array([int(c) * target // whole for c in counts], np.int64)
+    open_ = target - int((quota * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):
         n = int(lengths[i])
         if open_ <= capacity:
             break
-        if n > 0 and (k := min(int(counts[i] - quota[i]), (open_ - capacity + n - 1) // n, open_ // n)) > 0:
+        if n > 0 and (k := min(int(limits[0][i] - quota[i]), (open_ - capacity + n - 1) // n, open_ // n)) > 0:
             quota[i] += k
             open_ -= k * n
-    # sums that can be reached, as bits; after each power-of-two bundle the bits are kept to walk back
-    mask, reach, steps = (1 << (open_ + 1)) - 1, 1, []
-    for i in np.argsort(lengths, kind="stable"):
-        n, left, k = int(lengths[i]), int(counts[i] - quota[i]), 1
-        while 0 < n * k <= open_ and left > 0 and not reach >> open_ & 1:
-            k = min(k, left)
-            steps.append((i, k, n * k, reach))
-            reach |= reach << n * k & mask
-            left -= k
-            k *= 2
-    at = reach.bit_length() - 1
-    for i, k, words, before in reversed(steps):
-        if not before >> at & 1:
-            quota[i] += k
-            at -= words
+    quota, gap = _walk(lengths, quota, limits, open_)
+    if gap and target <= capacity:
+        other, less = _walk(lengths, none, limits, target)
+        quota = other if less < gap else quota
     return quota
 
 
-def fitted(cells: DataFrame, wanted: DataFrame) -> DataFrame:
-    """no_source, source, size, quota: documents that get one more than the source's whole repeats."""
+def fitted(cells: DataFrame, wanted: DataFrame, cap: int = CAP) -> DataFrame:
+    """no_source, source, size, n, quota: the copies that a source takes of its n documents of a length."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
-        whole, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
-        passes = int(target // whole) if whole else 0
-        pdf["quota"] = fit(pdf["size"].to_numpy(), pdf["n"].to_numpy(), round(target) - passes * whole)
-        return pdf[["no_source", "source", "size", "quota"]]
+        pdf["quota"] = fit(pdf["size"].to_numpy(), pdf["n"].to_numpy(), round(float(pdf["target"].iloc[0])), cap)
+        return pdf[["no_source", "source", "size", "n", "quota"]]
 
     joined = cells.join(wanted, ["no_source", "source"]).filter("size > 0")
-    return joined.groupBy("no_source", "source").applyInPandas(one, "no_source boolean, source string, size long, quota long")
+    return joined.groupBy("no_source", "source").applyInPandas(one, "no_source boolean, source string, size long, n long, quota long")
 
 
 def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, whole: bool = False) -> DataFrame:
@@ -128,19 +151,19 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
     by_bucket = rows.groupBy("no_source", "source", "size", "bucket").agg(F.count("*").alias("n"))
     cells = common.stored(by_bucket.groupBy("no_source", "source", "size").agg(F.sum("n").alias("n")), "mixing")
     wanted = common.stored(targets(cells, weights, cap), "mixing")
-    quotas = fitted(cells, wanted)
+    quotas = fitted(cells, wanted, cap).selectExpr("no_source", "source", "size", "quota div n as each", "quota % n as rest")
     # the buckets of a length are emptied in turn; at most BUCKETS rows stand in one window
     before = "coalesce(sum(n) over (partition by no_source, source, size order by bucket rows between unbounded preceding and 1 preceding), 0)"
     buckets = by_bucket.selectExpr("*", f"{before} as before").join(quotas, ["no_source", "source", "size"])
-    buckets = buckets.selectExpr("no_source", "source", "size", "bucket", "greatest(0, least(n, quota - before)) as more")
+    buckets = buckets.selectExpr("no_source", "source", "size", "bucket", "each", "greatest(0, least(n, rest - before)) as more")
     place = "row_number() over (partition by no_source, source, size, bucket order by h, doc_id)"
     passes = "if(source_size = 0, 0, cast(floor(target / source_size) as int))"
     dealt = sizes(docs, seed, whole=True) if whole else rows
     return (
         dealt.join(buckets, ["no_source", "source", "size", "bucket"], "left")
-        .withColumn("more", F.expr(f"if({place} <= coalesce(more, 0), 1, 0)"))
+        .withColumn("more", F.expr(f"if({place} <= more, 1, 0)"))
         .join(wanted, ["no_source", "source"])
-        .withColumn("times", F.expr(f"{passes} + more"))
+        .withColumn("times", F.expr(f"cast(if(size = 0, {passes}, coalesce(each + more, 0)) as int)"))
     )
 
 
