@@ -42,7 +42,7 @@ def test_encoder_is_the_tokenizer(texts):
 
 def test_other_tokenizers_encode_whole():
     encoder = tokens.Encoder(P.path("word_bpe_49k.json"))
-    assert not encoder.parts and encoder.encode(["Hello there, you"]) == encoder._whole(["Hello there, you"])
+    assert not encoder.cuts and encoder.encode(["Hello there, you"]) == encoder._whole(["Hello there, you"])
 
 
 def test_files_hold_every_document(spark, crowded):

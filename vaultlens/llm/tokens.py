@@ -36,6 +36,7 @@ import re
 import uuid
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,16 +60,18 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     n, rows = len(values), -(-len(values) // block)
     padded = np.zeros(rows * block + ZEROS, np.uint64)
     padded[:n] = values
-    bits = np.searchsorted(np.array([1 << w for w in (0, *WIDTHS)], np.uint64), padded[: rows * block], "right").astype(np.int8).reshape(rows, block)
-    places = np.arange(block, dtype=np.int32)[None, :]
-    many, selector = np.ones(bits.shape, np.int32), np.zeros(bits.shape, np.int8)
+    # past a block's end all fits
+    bits = np.zeros((rows, block + ZEROS), np.int8)
+    bits[:, :block] = np.searchsorted(np.array([1 << w for w in (0, *WIDTHS)], np.uint64), padded[: rows * block], "right").reshape(rows, block)
+    many, selector = np.ones((rows, block), np.int32), np.zeros((rows, block), np.int8)
     for k in range(len(COUNTS), -1, -1):
-        # the first place from here on whose value doesn't fit; past a block's end all fit
-        count = COUNTS[k - 1] if k else ZEROS
-        stop = np.where(bits > k, places, np.int32(block + ZEROS))
-        stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
-        fits = stop - places >= count
-        many[fits], selector[fits] = count, k or 15
+        # the places from which count values in a row fit, by doubling
+        count, fits, size = COUNTS[k - 1] if k else ZEROS, bits <= k, 1
+        while size < count:
+            step = min(size, count - size)
+            fits, size = fits[:, :-step] & fits[:, step:], size + step
+        np.copyto(many, count, where=fits[:, :block])
+        np.copyto(selector, k or 15, where=fits[:, :block])
     starts, sizes = [], []
     for row, step in enumerate(many):
         at, last, step, had = 0, min(block, n - row * block), step.tolist(), len(starts)
@@ -163,49 +166,26 @@ def parse(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(names, nulls.tolist())], lengths, values
 
 
-class Parts(dict):
-    """Ids (bytes) of a text's space-separated parts, each encoded when it is first seen.
-
-    A part stands for itself behind a space, or from a line end on. The pattern cuts letters from what follows them, and
-    a line end from what is no white space on both sides; so a part of lines is the sequence of its lines, and letters
-    with a full stop or comma are two pieces. Anything else is encoded as it is.
-    """
-
-    LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([.,]?)")
-    #: Byte-level alphabet: printable bytes are their own characters, the others follow behind Latin-1's.
-    PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    ALPHABET = dict(zip(PLAIN, PLAIN)) | {x: 256 + k for k, x in enumerate(sorted({*range(256)}.difference(PLAIN)))}
-
-    def __init__(self, whole):
-        super().__init__()
-        self.whole, self.model = whole, whole.model
-
-    def piece(self, text: str) -> bytes:
-        """Ids of one piece of the pattern."""
-        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.ALPHABET))]).tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        line = part[:1] == "\n"
-        if not line and (m := self.LETTERS.fullmatch(part)):
-            ids = self[m[1]] + self.piece(m[2]) if m[2] else self.piece(f" {part}")
-        elif not line and "\n" in part and all(lines := part.split("\n")) and not any(map(str.isspace, part.replace("\n", ""))):
-            return self[lines[0]] + b"".join([self["\n" + x] for x in lines[1:]])
-        else:
-            ids = array("I", self.whole.encode(part if line else f" {part}", add_special_tokens=False).ids).tobytes()
-        self[part] = ids
-        return ids
-
-
 class Encoder:
     """Whole texts to ids, as the tokenizer's own encode gives them.
 
-    Byte-level BPE never merges across the pieces that its pattern cuts, and the pattern always cuts before a space that
-    follows a character other than white space. So a text without white space beside a space is the sequence
-    of its Parts (of which about ``memory`` are remembered). Other texts, and texts for other kinds of tokenizers, are
+    Byte-level BPE never merges across the pieces that its pattern cuts. The pattern always cuts before a space that
+    follows a character other than white space, before a line end that has none on either side, and between letters and
+    a full stop or comma that ends them. So a text without white space beside a space is the sequence of its
+    space-separated parts, and a part that of its atoms (a space or line end and what follows it), each with its full
+    stop or comma. An atom that is one piece goes to the model, others to
+    the tokenizer. About ``memory`` atoms and parts are remembered. Other texts, and texts for other kinds of tokenizers, are
     encoded in one piece.
     """
 
     UNSAFE = re.compile(r"\s | \s")
+    LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([.,])")
+    #: A space and letters, or a full stop or comma: one piece of the pattern.
+    PIECE = re.compile(r" [A-Za-zÀ-ÖØ-öø-ſ]+|[.,]")
+    #: Byte-level alphabet: printable bytes are their own characters, the others follow behind Latin-1's.
+    PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    ALPHABET = dict(zip(PLAIN, map(chr, PLAIN))) | {x: chr(256 + k) for k, x in enumerate(sorted({*range(256)}.difference(PLAIN)))}
+    TOGETHER = 4096
 
     def __init__(self, tokenizer: str, memory: int = 800_000):
         from tokenizers import Tokenizer, models, pre_tokenizers
@@ -213,27 +193,66 @@ class Encoder:
         self.whole = Tokenizer.from_file(tokenizer)
         self.whole.encode_special_tokens = True
         cut, model = self.whole.pre_tokenizer, self.whole.model
-        self.parts = isinstance(cut, pre_tokenizers.ByteLevel) and not cut.add_prefix_space and cut.use_regex and self.whole.normalizer is None
-        self.parts = self.parts and isinstance(model, models.BPE) and not model.dropout and not (model.continuing_subword_prefix or model.end_of_word_suffix)
-        self.memory, self.known = memory, Parts(self.whole)
+        self.cuts = isinstance(cut, pre_tokenizers.ByteLevel) and not cut.add_prefix_space and cut.use_regex and self.whole.normalizer is None
+        self.cuts = self.cuts and isinstance(model, models.BPE) and not model.dropout and not (model.continuing_subword_prefix or model.end_of_word_suffix)
+        self.model, self.memory, self.atoms, self.parts = model, memory, {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cut(self, part: str) -> list[str]:
+        """A part's atoms, and full stops and commas as atoms of their own."""
+        lines = part.split("\n")
+        if len(lines) > 1 and len(part.split()) != len(lines):  # other white space
+            return [f" {part}"]
+        out = []
+        for line in lines:
+            head = "\n" if out else " "
+            if m := self.LETTERS.fullmatch(line):
+                out += (head + m[1], m[2])
+            else:
+                out.append(head + line)
+        return out
+
+    def _learn(self, parts: list[str]) -> None:
+        cut = list(map(self._cut, parts))
+        new = {atom for atoms in cut for atom in atoms}.difference(self.atoms)
+        # an atom that is one piece goes to the model as it is
+        plain = [x for x in new if self.PIECE.fullmatch(x)]
+        written = "\x00".join(plain).encode().decode("latin-1").translate(self.ALPHABET).split(self.ALPHABET[0])
+        tokenize = self.model.tokenize
+        for x, y in zip(plain, written):
+            self.atoms[x] = array("I", [t.id for t in tokenize(y)]).tobytes()
+        rest = list(new.difference(plain))
+        self.atoms.update(zip(rest, self._whole(rest)))
+        ids = self.atoms.__getitem__
+        for part, atoms in zip(parts, cut):
+            self.parts[part] = b"".join(map(ids, atoms)) if len(atoms) > 1 else ids(atoms[0])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """32-bit little-endian ids of each text."""
-        if len(self.known) > self.memory:
-            self.known = Parts(self.whole)
-        get, out = self.known.__getitem__, []
-        for text in texts:
-            if self.parts and text and not self.UNSAFE.search(text):
-                first, *rest = text.split(" ")
-                out.append((self._whole([first])[0] if first else b"") + b"".join(map(get, rest)))
+        for known in (self.atoms, self.parts):
+            if 2 * len(known) > self.memory:
+                known.clear()
+        cut = [text.split(" ") if self.cuts and text and not text[-1].isspace() and not self.UNSAFE.search(text) else None for text in texts]
+        new = list({x for parts in cut if parts for x in parts[1:]}.difference(self.parts))
+        for low in range(0, len(new), self.TOGETHER):
+            self._learn(new[low : low + self.TOGETHER])
+        get, out = self.parts.__getitem__, []
+        for text, parts in zip(texts, cut):
+            if parts:
+                out.append((self._whole(parts[:1])[0] if parts[0] else b"") + b"".join(map(get, parts[1:])))
             else:
                 out += self._whole([text])
         return out
 
 
+@lru_cache(1)
+def encoder(tokenizer: str) -> Encoder:
+    """One for all tasks of a Python worker: reading the vocabulary takes over a second."""
+    return Encoder(tokenizer)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
     """Token files and their manifest under path, a URI that every executor can write to."""
 
@@ -254,10 +273,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file
 
         store.create_dir(root, recursive=True)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = Encoder(tokenizer), array("I", [end_id]).tobytes()
+        end = array("I", [end_id]).tobytes()
         pieces = (batch.slice(low, 1000) for batch in batches for low in range(0, batch.num_rows, 1000))
         for batch in pieces:
-            encoded = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+            encoded = encoder(tokenizer).encode([t or "" for t in batch.column("text").to_pylist()])
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoded):
                 ids = np.frombuffer(raw + end, "<u4")
                 if names and held + len(ids) > file_ids:
