@@ -235,8 +235,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
     """One document of each class: that of the smallest doc_id (nulls last), with the columns it came with."""
+    return first_of(docs, near_duplicates(docs, shingle, distance, seed))
+
+
+def first_of(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    """The same for classes found elsewhere: doc_id, text_hash, root of every document."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    chosen = near_duplicates(docs, shingle, distance, seed).groupBy("root").agg(F.min(order).alias("o")).select("o.doc_id", "o.text_hash")
+    chosen = classed.groupBy("root").agg(F.min(order).alias("o")).select("o.doc_id", "o.text_hash")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = packed.select("row", F.col("row.doc_id").alias("_id"), F.xxhash64("row.text").alias("_text"))
     held = rows.join(chosen, rows._id.eqNullSafe(chosen.doc_id) & (rows._text == chosen.text_hash), "left_semi")
