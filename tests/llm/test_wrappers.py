@@ -37,6 +37,19 @@ def test_markup(page, want):
     assert text_of(page, Wrapper.of(parse(page)).main_parts()) == want
 
 
+@pytest.mark.parametrize("script", ["for(var i=0;i<n;i++)f(i);", "<!-- f();", "a<b&&c('\"');", "x='</scripted>';"])
+@pytest.mark.parametrize("tag", ["script", "STYLE", "svg"])
+def test_raw_content_is_no_markup(script, tag):
+    raw = f"<{tag} class='x'>{script}</{tag} >"
+    page = f"<html><head>{raw}</head><body>{raw}<article><p>one</p>{raw}<p>two</p></article><p>after</p>{raw}</body></html>"
+    main = Wrapper.of(parse(page)).main_parts()
+    assert text_of(page, main) == "one\ntwo" == text_of(page, [])
+
+
+def test_raw_content_without_end():
+    assert text_of("<article><p>one</p><script>if(i<n)</scrip", []) == "one"
+
+
 def test_mismatches_become_optional_and_repeated():
     one = Wrapper.of(parse("<div><h1>a</h1><p>b</p></div>"))
     one.align(Wrapper.of(parse("<div><h1>c</h1><ul><li>1</li><li>2</li></ul><p>d</p><p>e</p></div>")))

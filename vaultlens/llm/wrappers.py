@@ -48,6 +48,8 @@ BOILER_TAGS = set("nav footer aside form button select menu dialog head fieldset
 BOILER_NAMES = set("nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget widgets ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription comment comments commentlist disqus reply replies respond form login search share sharing social related recommended pagination pager toolbar skip".split())
 MAIN_TAGS, MAIN_NAMES = {"article", "main"}, {"article", "articlebody", "content", "main", "post", "entry", "story", "maincontent", "postcontent", "entrycontent"}
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
+#: A raw element ends at its end tag only, whatever stands before it.
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -74,17 +76,20 @@ class Node:
         return self.tag in MAIN_TAGS or self.role in MAIN_TAGS or bool(self.names & MAIN_NAMES)
 
 
+def behind(page: str, tag: str, at: int) -> int:
+    """The place behind the end tag of a raw element whose content starts at a place; its content isn't markup."""
+    end = END[tag].search(page, at)
+    return len(page) if end is None else end.end()
+
+
 def parse(page: str | None) -> Node:
     """The tree of block elements; text runs are (text, is a link)."""
     root = Node("#page", {})
     stack, links = [root], 0
-    raw = None
-    for m in TOKEN.finditer(page or ""):
+    page, at = page or "", 0
+    while m := TOKEN.match(page, at):
+        at = m.end()
         close, tag, rest = m.groups()
-        if raw:
-            if close and tag.lower() == raw:
-                raw = None
-            continue
         if tag is None:
             text = m[0]
             if text[:2] not in ("<!", "<?"):
@@ -114,7 +119,7 @@ def parse(page: str | None) -> Node:
             continue
         if tag in RAW:
             if not rest.rstrip().endswith("/"):
-                raw = tag
+                at = behind(page, tag, at)
             continue
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
