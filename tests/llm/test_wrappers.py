@@ -57,6 +57,14 @@ def test_mismatches_become_optional_and_repeated():
     assert Wrapper.unpacked(json.loads(json.dumps(one.packed()))).expression("page") == one.expression("page")
 
 
+def test_page_unique_ids_fold_into_one_part(spark):
+    page = lambda k: f"<body><div id='ad{k}'>buy</div><article id='post-{k}' class='post-{k} post'><p id='x{k}f'>text {k}</p></article></body>"
+    df = spark.createDataFrame([(k, f"http://a.org/{k}", page(k)) for k in range(300)], "page_id long, url string, html string")
+    row = wrappers.wrappers(df).collect()[0]
+    assert len(json.loads(row.main)) == 1 and len(row.wrapper) < 500
+    assert {r.page_id: r.text for r in wrappers.extracted(df).collect()} == {k: f"text {k}" for k in range(300)}
+
+
 def test_alignment_doesn_t_hang_on_grouping():
     pages = [f"<div><h1>a</h1>{'<p>x</p>' * k}{'<table><tr><td>1</table>' * (k % 2)}</div>" for k in range(1, 6)]
     left, right = Wrapper.of(parse(pages[0])), Wrapper.of(parse(pages[2]))

@@ -4,7 +4,8 @@ A page becomes a token stream of tags and text; block elements nest, inline
 elements belong to the text they stand in. A wrapper is a union-free expression over such streams: an
 element with a sequence of parts, each of which is one element, an optional (?), a
 repeated group (+) or a text slot (#). Pages are aligned with their host's wrapper one after
-another: parts are matched in order by tag, class, id and role; where the streams
+another: parts are matched in order by tag, class, id and role (names with digits
+are one slot, so that ids of single pages don't add parts); where the streams
 differ, a part that one of them lacks becomes optional, and a part that comes again
 becomes a repeated group. Aligning two wrappers gives a wrapper, so tasks align the pages that
 they hold, and the tasks' wrappers are aligned in two steps; a host's pages never
@@ -51,6 +52,21 @@ BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search"
 #: A raw element ends at its end tag only, whatever stands before it.
 END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+PART, DIGIT = re.compile(r"[^\W_]+"), re.compile("[0-9]")
+
+
+def general(names: str) -> set[str]:
+    """The words of class and id tokens; parts with digits, which name single pages or places, are all one slot (#).
+
+    Words that tell boilerplate or main text stay beside the slot.
+    """
+    found = set()
+    for part in PART.findall(names):
+        kept = {x.lower() for x in NAME.findall(part)}
+        if DIGIT.search(part):
+            kept = (kept & (BOILER_NAMES | MAIN_NAMES)) | {"#"}
+        found |= kept
+    return found
 
 
 class Node:
@@ -62,7 +78,7 @@ class Node:
         names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('itemprop', '')}"
         self.tag, self.role = tag, attributes.get("role", "").lower()
         self.names = {x.lower() for x in NAME.findall(names)} if names.strip() else frozenset()
-        self.key = " ".join([tag, *sorted(self.names), self.role]).strip() if self.names or self.role else tag
+        self.key = " ".join([tag, *sorted(general(names)), self.role]).strip() if self.names or self.role else tag
         self.parts: list = []
 
     def boiler(self, inside_main: bool) -> bool:
