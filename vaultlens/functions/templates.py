@@ -5,23 +5,23 @@ Templates never go through SQL text, where Spark would substitute ${...} itself.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def render(template: Column, values: Column, names: list[str]) -> Column:
-    """FN-03: tokens of the given names replaced, in that order; unknown tokens stay, a name without a value in the map stays,
-    and a value of null shows as ``undefined``. Nested values have dotted names."""
+def render(template: Column, values: Column, names: list[str] | None = None) -> Column:
+    """FN-03: tokens of the values' names replaced, in the order of names (the map's own order if none are given); unknown tokens stay, a
+    name without a value in the map stays, and a value of null shows as ``undefined``. Nested values have dotted names.
+
+    The names are folded over the text, so the expression doesn't grow with them.
+    """
 
-    def one(text: Column, name: str) -> Column:
-        pattern = r"\$\{\s*" + name.replace(".", r"\.") + r"\s*\}"
-        value = F.coalesce(values[name], F.lit("undefined"))
-        # a value is text: its backslashes and dollars don't refer to groups
-        quoted = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\\\\\"), r"\$", r"\\\\\\$")
-        return F.when(F.map_contains_key(values, name), F.regexp_replace(text, F.lit(pattern), quoted)).otherwise(text)
+    def one(text: Column, name: Column) -> Column:
+        # a name and a value are text: neither is read as a pattern or as a reference to a group
+        quoted = F.concat(F.lit(r"\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        value = F.replace(F.replace(F.coalesce(values[name], F.lit("undefined")), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        return F.regexp_replace(text, F.concat(F.lit(r"\$\{\s*"), quoted, F.lit(r"\s*\}")), F.when(F.map_contains_key(values, name), value).otherwise(F.lit("$0")))
 
-    return reduce(one, names, template)
+    return F.aggregate(F.map_keys(values) if names is None else F.array(*map(F.lit, names)), template, one)
 
 
 def overridden(default: Column, override: Column) -> Column:
@@ -37,10 +37,7 @@ def commands(tools: DataFrame, params: dict[str, str], config: dict[str, str]) -
     """
     known = F.create_map(*[F.lit(x) for kv in (params | config).items() for x in kv]).cast("map<string,string>")
     base = tools.withColumn("base", overridden(known, F.col("tools")))
-    first = [r.k for r in base.select(F.explode(F.map_keys("base")).alias("k")).collect()]  # a configuration's names
-    paths = base.withColumn("rendered", F.transform_values("paths", lambda k, v: render(v, F.col("base"), first)))
-    merged = paths.withColumn("all", overridden(F.col("base"), F.col("rendered")))
-    names = [r.k for r in merged.select(F.explode(F.map_keys("all")).alias("k")).collect()]
-    made = merged.withColumn("commands", F.transform_values("command", lambda k, v: render(v, F.col("all"), names)))
+    paths = base.withColumn("rendered", F.transform_values("paths", lambda k, v: render(v, F.col("base"))))
+    made = paths.withColumn("all", overridden(F.col("base"), F.col("rendered"))).withColumn("commands", F.transform_values("command", lambda k, v: render(v, F.col("all"))))
     out = made.select(F.explode("commands").alias("name", "text")).withColumn("kind", F.lit("command"))
     return out.unionByName(paths.select(F.explode("rendered").alias("name", "text")).withColumn("kind", F.lit("path")))
