@@ -12,12 +12,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: A key that holds over 1/HOT of all rows is hot: there are fewer than HOT such keys, however many rows there are.
+HOT = 10_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session, where both are one machine, may go without."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     context = spark.sparkContext
     if not (found := context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="vaultlens-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -43,6 +49,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
+def by_key(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", hot: int = HOT) -> DataFrame:
+    """rows joined (inner, left or left_semi) with table, whatever share of the rows one key holds.
+
+    table has one row for each key, and n: the rows of that key (or more), of total in all. The fewer than
+    ``hot`` keys that hold over 1/hot of total are broadcast and their rows stay where they are; no other key
+    can fill a shuffle partition.
+    """
+    often = F.col("n") * hot > total
+    few, rest = F.broadcast(table.filter(often).drop("n")), table.filter(~often).drop("n")
+    near = rows.join(few, keys, "left_semi" if how == "left_semi" else "inner")
+    far = rows.join(F.broadcast(table.filter(often).select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return near.unionByName(far)
+
+
 def ranked(df: DataFrame, keys: list[str], name: str, index: str = "rank") -> DataFrame:
     """All rows with their 0-based place in the order of keys, as column index.
 

@@ -12,9 +12,10 @@ least MIN_DOCS documents recurs, and its lines are dropped, all of them, from ev
     cleaned(docs)          -> the documents without those lines
 
 Lines that by themselves stand in MIN_DOCS documents are their own recurring templates;
-only the others of leaves with enough documents are taken apart into words. Everything is
-DataFrame expressions and partially aggregated joins on hashes; a leaf's lines
-never meet in one task.
+only the others of leaves with enough documents are taken apart into words. The corpus is cut and masked
+once; what follows works on stored hashes, and reads a line's text again only where its leaf is open.
+Everything is DataFrame expressions and partially aggregated joins (common.by_key), so neither a leaf's
+lines nor the copies of a line meet in one task, whatever share of the corpus they are.
 
 Copies of a document make each of its lines recur, so this runs after document dedup.
 
@@ -34,40 +35,54 @@ LEADING, MIN_DOCS, CONSTANT_SHARE = 3, 3, 0.6
 
 
 def lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
-    """doc_id, text_hash, at, leaf, line (hashes), words: every line with a word."""
+    """doc_id, text_hash, at, leaf, line (hashes), masked: every line with a word, its words parted by one space each."""
     cut = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "l"))
-    masked = cut.withColumn("words", common.words(F.col("l"))).filter("size(words) > 0").drop("l")
-    masked = masked.withColumn("words", F.expr("transform(words, w -> if(w rlike '[0-9]', '<*>', w))"))
-    return masked.selectExpr("doc_id", "text_hash", "at", f"xxhash64(size(words), slice(words, 1, {leading})) as leaf", "xxhash64(words) as line", "words")
+    # patterns run over the lines that need them only
+    spaced = F.trim(F.when(F.col("l").rlike(r"[\x09-\x0D]"), F.regexp_replace("l", r"[\x09-\x0D]+", " ")).otherwise(F.col("l")))
+    cut = cut.select("doc_id", "text_hash", "at", spaced.alias("l"))
+    single = F.when(F.contains("l", F.lit("  ")), F.regexp_replace("l", " +", " ")).otherwise(F.col("l"))
+    cut = cut.filter("l <> ''").select("doc_id", "text_hash", "at", single.alias("l"))
+    masked = F.when(F.col("l").rlike("[0-9]"), F.regexp_replace("l", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(F.col("l"))
+    cut = cut.select("doc_id", "text_hash", "at", masked.alias("masked"))
+    count = "octet_length(masked) - octet_length(replace(masked, ' ', ''))"
+    return cut.selectExpr("doc_id", "text_hash", "at", f"xxhash64({count}, substring_index(masked, ' ', {leading})) as leaf", "xxhash64(masked) as line", "masked")
 
 
 def templates(rows: DataFrame, min_docs: int = MIN_DOCS, constant_share: float = CONSTANT_SHARE) -> DataFrame:
-    """leaf, line of the lines whose template recurs. rows: lines(docs)."""
-    seen = common.stored(rows.select("leaf", "line", "doc_id", "text_hash").distinct(), "lines")
-    counts = common.stored(seen.groupBy("leaf", "line").agg(F.count("*").alias("docs")), "lines")
-    recurring = counts.filter(F.col("docs") >= min_docs).select("leaf", "line")
+    """leaf, line, n (its rows): the lines whose template recurs. rows: lines(docs), stored."""
+    total = rows.count()
+    # a document's copies of a line first, so that a frequent line is counted in parts
+    seen = rows.groupBy("leaf", "line", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    counts = common.stored(seen.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.sum("n").alias("n")), "lines")
+    recurring = counts.filter(F.col("docs") >= min_docs).select("leaf", "line", "n")
     # lines that don't recur as they are, in leaves with enough documents
-    leaves = counts.groupBy("leaf").agg(F.sum("docs").alias("n"), F.min("docs").alias("least")).filter((F.col("n") >= min_docs) & (F.col("least") < min_docs)).select("leaf")
-    open_ = rows.select("leaf", "line", "words").join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("words").alias("words"))
+    leaves = counts.groupBy("leaf").agg(F.sum("docs").alias("held"), F.min("docs").alias("least"), F.sum("n").alias("n"))
+    leaves = common.stored(leaves.filter((F.col("held") >= min_docs) & (F.col("least") < min_docs)).select("leaf", "n"), "lines")
+    open_ = common.by_key(rows.select("leaf", "line", "masked"), leaves, ["leaf"], total, "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
     counted = common.stored(open_.join(counts, ["leaf", "line"]), "lines")
-    words = counted.select("leaf", "line", "docs", F.posexplode("words").alias("place", "word"))
-    constant = words.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "place", "word", F.lit(True).alias("constant"))
-    wanted = words.filter(F.col("docs") < min_docs).join(constant, ["leaf", "place", "word"], "left")
+    words = common.stored(counted.select("leaf", "line", "docs", "n", F.posexplode(F.split("masked", " ")).alias("place", "word")).withColumn("word", F.xxhash64("word")), "lines")
+    support = words.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("support"), F.count("*").alias("n"))
+    constant = common.stored(support.filter(F.col("support") >= min_docs).select("leaf", "place", "word", "n", F.lit(True).alias("constant")), "lines")
+    wanted = words.filter(F.col("docs") < min_docs).withColumnRenamed("n", "rows")
+    wanted = common.by_key(wanted, constant, ["leaf", "place", "word"], words.count(), "left")
+    # places differ within a line, so the hashes of its constant words tell the set of them
     template = wanted.groupBy("leaf", "line").agg(
-        F.count("*").alias("n"),
-        F.count("constant").alias("fixed"),
-        F.sort_array(F.collect_list(F.when(F.col("constant"), F.struct("place", "word")))).alias("words"),
-    )
-    template = template.filter(F.col("fixed") >= constant_share * F.col("n")).selectExpr("leaf", "line", "xxhash64(leaf, words) as template")
-    docs = seen.join(template, ["leaf", "line"]).select("template", "doc_id", "text_hash").distinct().groupBy("template").count().filter(F.col("count") >= min_docs)
-    return recurring.unionByName(template.join(docs, "template").select("leaf", "line"))
+        F.count("*").alias("words"), F.count("constant").alias("fixed"), F.max("rows").alias("n"),
+        F.expr("bit_xor(if(constant, xxhash64(place, word), 0L))").alias("constants"),
+    )
+    template = template.filter(F.col("fixed") >= constant_share * F.col("words")).selectExpr("leaf", "line", "n", "xxhash64(leaf, constants) as template")
+    template = common.stored(template, "lines")
+    stands = common.by_key(rows.select("leaf", "line", "doc_id", "text_hash"), template, ["leaf", "line"], total)
+    docs = stands.select("template", "doc_id", "text_hash").distinct().groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    held = common.stored(template.groupBy("template").agg(F.count("*").alias("n")).join(docs, "template").select("template", "n"), "lines")
+    return recurring.unionByName(common.by_key(template.withColumnRenamed("n", "rows"), held, ["template"], template.count(), "left_semi").select("leaf", "line", F.col("rows").alias("n")))
 
 
 def dropped(docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, constant_share: float = CONSTANT_SHARE) -> DataFrame:
     """doc_id, text_hash, dropped: the places of the dropped lines, for documents that lose some."""
-    rows = lines(docs, leading)
+    rows = common.stored(lines(docs, leading), "lines")
     found = common.stored(templates(rows, min_docs, constant_share), "templates")
-    hit = rows.select("doc_id", "text_hash", "at", "leaf", "line").join(found, ["leaf", "line"], "left_semi")
+    hit = common.by_key(rows.select("doc_id", "text_hash", "at", "leaf", "line"), found, ["leaf", "line"], rows.count(), "left_semi")
     return hit.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
 
 
