@@ -33,16 +33,37 @@ def test_blocks_decode_alone():
     assert (tokens.unpack(part, np.array([0, len(part)]), 4096) == values[4096:8192]).all()
 
 
-@given(st.lists(st.text(st.sampled_from(list("ab. ,\n\t'1é日 \x1cN")), max_size=30), max_size=5))
-@settings(max_examples=200, deadline=None)
+def plain(name, texts):
+    """The ids that an untouched tokenizer gives."""
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(P.path(name))
+    return [np.array(untouched.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+PIECES = [*"ab. ,\n\t'1é日 \x1cN", "<|endoftext|>", "  ", " word", "word, "]
+
+
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=20).map("".join), max_size=5))
+@settings(max_examples=300, deadline=None)
 def test_encoder_is_the_tokenizer(texts):
-    encoder = tokens.Encoder(P.path(tokens.TOKENIZER))
-    assert encoder.encode(texts) == encoder._whole(texts)
+    assert tokens.encoder(P.path(tokens.TOKENIZER)).encode(texts) == plain(tokens.TOKENIZER, texts)
+
+
+def test_special_tokens_are_the_librarys():
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>b c", "x <|endoftext |> y"]
+    assert tokens.Encoder(P.path(tokens.TOKENIZER)).encode(texts) == plain(tokens.TOKENIZER, texts)
+
+
+def test_forgetting_changes_nothing():
+    encoder = tokens.Encoder(P.path(tokens.TOKENIZER), memory=20)
+    texts = [f"word{k} some, other words.\nAnd {k} more" for k in range(40)]
+    assert [x for t in texts for x in encoder.encode([t])] == plain(tokens.TOKENIZER, texts)
 
 
 def test_other_tokenizers_encode_whole():
     encoder = tokens.Encoder(P.path("word_bpe_49k.json"))
-    assert not encoder.cuts and encoder.encode(["Hello there, you"]) == encoder._whole(["Hello there, you"])
+    assert not encoder.cuts and encoder.encode(["Hello there, you"]) == plain("word_bpe_49k.json", ["Hello there, you"])
 
 
 def test_files_hold_every_document(spark, crowded):

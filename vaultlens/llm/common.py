@@ -54,11 +54,18 @@ def by_key(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how:
 
     table has one row for each key, and n: the rows of that key (or more), of total in all. The fewer than
     ``hot`` keys that hold over 1/hot of total are broadcast and their rows stay where they are; no other key
-    can fill a shuffle partition.
+    can fill a shuffle partition. how "left": the first key is a 64-bit hash.
     """
     often = F.col("n") * hot > total
     few, rest = F.broadcast(table.filter(often).drop("n")), table.filter(~often).drop("n")
-    near = rows.join(few, keys, "left_semi" if how == "left_semi" else "inner")
+    if how == "left":
+        values = [c for c in table.columns if c not in (*keys, "n")]
+        near = rows.join(few.withColumn("_near", F.lit(True)), keys, "left")
+        # rows that have found theirs are dealt by their own hash and meet nothing
+        near = near.withColumn("_away", F.when(F.col("_near"), F.xxhash64(*rows.columns)).otherwise(F.col(keys[0])))
+        far = rest.withColumnsRenamed({keys[0]: "_away"} | {v: f"_{v}" for v in values})
+        return near.join(far, ["_away", *keys[1:]], "left").select(*rows.columns, *[F.coalesce(v, f"_{v}").alias(v) for v in values])
+    near = rows.join(few, keys, how)
     far = rows.join(F.broadcast(table.filter(often).select(*keys)), keys, "left_anti").join(rest, keys, how)
     return near.unionByName(far)
 

@@ -1,6 +1,6 @@
 """Token files: whole texts as token ids in Simple-8b words, in ascending doc_id order.
 
-    write(docs, path, tokenizer) -> manifest rows (file, first_doc, n_docs, n_tokens)
+    write(docs, path, tokenizer) -> token files and a manifest table (part, file_no, file, n_docs, n_tokens)
     read(spark, path)            -> doc_id, start, ids (unsigned 32-bit, little-endian), n_tokens
 
 A file holds whole documents:
@@ -19,13 +19,13 @@ decode in one vector operation.
 
 Rows are dealt to ranges of doc_id, sorted and tokenized there, so that files follow
 each other; a partition writes files of at most FILE_IDS ids (or one document). A
-task's files have names of their own and count only through the manifest, which
-is written last, so repeated or lost tasks leave no trace. Files are written
-through pyarrow's file systems and read by Spark's binaryFile reader.
+task's files have names of their own and count only through the manifest: the table of the
+rows that the writing tasks return, so repeated or lost tasks leave no trace. Where a file's ids start
+comes from running sums within a part and over the parts. Files are written and read through pyarrow's file systems.
 
 Edge cases: a null text is an empty text and holds the end id only; null doc_ids come
-first; rows of equal doc_id follow each other in the order of their text; special
-tokens' strings in a text are ordinary text; an empty table gives an empty
+first; rows of equal doc_id follow each other in the order of their text; a special
+token's string in a text is what the tokenizer's encode makes of it: that token; an empty table gives an empty
 manifest and no rows; extra columns are ignored. One document's ids must fit into a task's memory.
 """
 
@@ -52,6 +52,17 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ZEROS, PAYLOAD = 240, 60
 BLOCK, FILE_IDS, END_ID = 4096, 4_000_000, 2
 TOKENIZER = "byte_bpe_50k.json"
+MANIFEST = "part int, file_no int, file string, n_docs long, n_tokens long"
+
+
+def classes(values: np.ndarray) -> np.ndarray:
+    """Of each value the first of 0 and WIDTHS that holds it, as a place; 15 if none does."""
+    edges = np.array([1 << w for w in (0, *WIDTHS)], np.uint64)
+    small = np.searchsorted(edges, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.int8)
+    out = small[np.minimum(values, np.uint64((1 << 16) - 1))]
+    if (large := np.flatnonzero(values >> np.uint64(16))).size:
+        out[large] = np.searchsorted(edges, values[large], "right")
+    return out
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -62,35 +73,39 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     padded[:n] = values
     # past a block's end all fits
     bits = np.zeros((rows, block + ZEROS), np.int8)
-    bits[:, :block] = np.searchsorted(np.array([1 << w for w in (0, *WIDTHS)], np.uint64), padded[: rows * block], "right").reshape(rows, block)
-    many, selector = np.ones((rows, block), np.int32), np.zeros((rows, block), np.int8)
+    bits[:, :block] = classes(padded[: rows * block]).reshape(rows, block)
+    # where many narrow values fit, fewer and wider ones do: the number of selectors that fit tells the best
+    fitting = np.zeros((rows, block), np.int8)
     for k in range(len(COUNTS), -1, -1):
         # the places from which count values in a row fit, by doubling
         count, fits, size = COUNTS[k - 1] if k else ZEROS, bits <= k, 1
         while size < count:
             step = min(size, count - size)
             fits, size = fits[:, :-step] & fits[:, step:], size + step
-        np.copyto(many, count, where=fits[:, :block])
-        np.copyto(selector, k or 15, where=fits[:, :block])
+        fitting += fits[:, :block]
+        if count < block and not fits[:, : block - count].any():
+            break  # nor do more and narrower values fit
+    many = np.array([1, *COUNTS[::-1], ZEROS])
     starts, sizes = [], []
-    for row, step in enumerate(many):
+    for row, step in enumerate(many[fitting]):
         at, last, step, had = 0, min(block, n - row * block), step.tolist(), len(starts)
         while at < last:
             starts.append(row * block + at)
             at += step[at]
         sizes.append(len(starts) - had)
     starts = np.array(starts, np.int64)
-    chosen = selector.ravel()[starts]
+    chosen = np.array([0, *range(len(COUNTS), 0, -1), 15])[fitting.ravel()[starts]]
     words = chosen.astype(np.uint64) << np.uint64(PAYLOAD)
     # a block's last word may reach past its end: what lies there isn't the block's
     ends = (starts // block + 1) * block
     for k in range(1, len(COUNTS) + 1):
-        mine = np.flatnonzero(chosen == k)
-        if len(mine):
-            place = starts[mine][:, None] + np.arange(COUNTS[k - 1])
-            group = np.where(place < ends[mine][:, None], padded[place], np.uint64(0))
-            shifts = (np.arange(COUNTS[k - 1]) * WIDTHS[k - 1]).astype(np.uint64)
-            words[mine] |= np.bitwise_or.reduce(group << shifts, axis=1)
+        if len(mine := np.flatnonzero(chosen == k)):
+            place, end, made = starts[mine], ends[mine], words[mine]
+            beyond = bool((place + COUNTS[k - 1] > end).any())
+            for j in range(COUNTS[k - 1]):
+                value = padded[place + j] << np.uint64(j * WIDTHS[k - 1])
+                made |= np.where(place + j < end, value, np.uint64(0)) if beyond else value
+            words[mine] = made
     sizes = np.array(sizes, np.int64)
     if (raw := np.flatnonzero(chosen == 0)).size:
         out = np.insert(words, raw + 1, values[starts[raw]])
@@ -105,8 +120,8 @@ def unpack(words: np.ndarray, offsets: np.ndarray, total: int, block: int = BLOC
     words = np.asarray(words, np.uint64)
     selector = (words >> np.uint64(PAYLOAD)).astype(np.int64)
     counts = np.array([0, *COUNTS, ZEROS])[selector]
-    out = np.zeros(total, np.uint64)
-    heads = np.arange(len(words))
+    # a last word may hold more places than values
+    out = np.zeros(total + ZEROS, np.uint64)
     if (escapes := np.flatnonzero(selector == 0)).size:
         raw, at = np.zeros(len(words), bool), -1
         for e in escapes.tolist():  # rare: values of 60 bits and over
@@ -117,21 +132,23 @@ def unpack(words: np.ndarray, offsets: np.ndarray, total: int, block: int = BLOC
         counts[(selector == 0) & ~raw] = 0
         selector = np.where(raw, -1, selector)
     upto = np.cumsum(counts) - counts
-    of = np.searchsorted(offsets[1:], heads, "right")
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets.astype(np.int64)))
     first = of * block + upto - upto[np.minimum(offsets[:-1], max(len(words) - 1, 0))][of] if len(words) else upto
     last = np.minimum((of + 1) * block, total)
     for k in range(1, len(COUNTS) + 1):
-        mine = np.flatnonzero(selector == k)
-        for low in range(0, len(mine), 1 << 18):
-            some = mine[low : low + (1 << 18)]
-            shifts = (np.arange(COUNTS[k - 1]) * WIDTHS[k - 1]).astype(np.uint64)
-            group = (words[some][:, None] >> shifts) & np.uint64((1 << WIDTHS[k - 1]) - 1)
-            place = first[some][:, None] + np.arange(COUNTS[k - 1])
-            inside = place < last[some][:, None]
-            out[place[inside]] = group[inside]
+        if len(mine := np.flatnonzero(selector == k)):
+            place, end, word = first[mine], last[mine], words[mine]
+            beyond = bool((place + COUNTS[k - 1] > end).any())
+            for j in range(COUNTS[k - 1]):
+                value = word >> np.uint64(j * WIDTHS[k - 1]) & np.uint64((1 << WIDTHS[k - 1]) - 1)
+                if beyond:
+                    inside = place + j < end
+                    out[place[inside] + j] = value[inside]
+                else:
+                    out[place + j] = value
     mine = selector == -1
     out[first[mine]] = words[mine]
-    return out
+    return out[:total]
 
 
 def file_bytes(doc_ids: list[int | None], lengths: list[int], values: np.ndarray) -> bytes:
@@ -173,77 +190,110 @@ class Encoder:
     follows a character other than white space, before a line end that has none on either side, and between letters and
     a full stop or comma that ends them. So a text without white space beside a space is the sequence of its
     space-separated parts, and a part that of its atoms (a space or line end and what follows it), each with its full
-    stop or comma. An atom that is one piece goes to the model, others to
-    the tokenizer. About ``memory`` atoms and parts are remembered. Other texts, and texts for other kinds of tokenizers, are
-    encoded in one piece.
+    stop or comma. An atom that is one piece goes to the model, others to the tokenizer; about ``memory`` are
+    remembered. A text with a part that can't be cut so (white space at an end, a special token), and every text for other
+    kinds of tokenizers, is encoded in one piece.
     """
 
-    UNSAFE = re.compile(r"\s | \s")
-    LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([.,])")
-    #: A space and letters, or a full stop or comma: one piece of the pattern.
-    PIECE = re.compile(r" [A-Za-zÀ-ÖØ-öø-ſ]+|[.,]")
+    LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ſ]+")
     #: Byte-level alphabet: printable bytes are their own characters, the others follow behind Latin-1's.
     PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
     ALPHABET = dict(zip(PLAIN, map(chr, PLAIN))) | {x: chr(256 + k) for k, x in enumerate(sorted({*range(256)}.difference(PLAIN)))}
-    TOGETHER = 4096
 
-    def __init__(self, tokenizer: str, memory: int = 800_000):
+    def __init__(self, tokenizer: str, memory: int = 1_200_000):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.whole = Tokenizer.from_file(tokenizer)
-        self.whole.encode_special_tokens = True
         cut, model = self.whole.pre_tokenizer, self.whole.model
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.cuts = isinstance(cut, pre_tokenizers.ByteLevel) and not cut.add_prefix_space and cut.use_regex and self.whole.normalizer is None
         self.cuts = self.cuts and isinstance(model, models.BPE) and not model.dropout and not (model.continuing_subword_prefix or model.end_of_word_suffix)
-        self.model, self.memory, self.atoms, self.parts = model, memory, {}, {}
+        self.cuts = self.cuts and not any(c.isspace() for x in self.added for c in x)
+        #: Ids of parts (with the space before them), and of line ends with what follows them.
+        self.model, self.memory, self.parts, self.lines = model, memory, {}, {}
+        self.dot, self.comma, self.line = self._whole([".", ",", "\n"])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, part: str) -> list[str]:
-        """A part's atoms, and full stops and commas as atoms of their own."""
-        lines = part.split("\n")
-        if len(lines) > 1 and len(part.split()) != len(lines):  # other white space
-            return [f" {part}"]
-        out = []
-        for line in lines:
-            head = "\n" if out else " "
-            if m := self.LETTERS.fullmatch(line):
-                out += (head + m[1], m[2])
-            else:
-                out.append(head + line)
-        return out
-
-    def _learn(self, parts: list[str]) -> None:
-        cut = list(map(self._cut, parts))
-        new = {atom for atoms in cut for atom in atoms}.difference(self.atoms)
-        # an atom that is one piece goes to the model as it is
-        plain = [x for x in new if self.PIECE.fullmatch(x)]
-        written = "\x00".join(plain).encode().decode("latin-1").translate(self.ALPHABET).split(self.ALPHABET[0])
-        tokenize = self.model.tokenize
-        for x, y in zip(plain, written):
-            self.atoms[x] = array("I", [t.id for t in tokenize(y)]).tobytes()
-        rest = list(new.difference(plain))
-        self.atoms.update(zip(rest, self._whole(rest)))
-        ids = self.atoms.__getitem__
-        for part, atoms in zip(parts, cut):
-            self.parts[part] = b"".join(map(ids, atoms)) if len(atoms) > 1 else ids(atoms[0])
+    def _letters(self, x: str) -> bool:
+        return x.isalpha() and (x.isascii() or self.LATIN.fullmatch(x) is not None)
+
+    def _tokenized(self, pieces: list[str]) -> Iterator[bytes]:
+        """What the model makes of pieces of the pattern."""
+        if pieces:
+            tokenize = self.model.tokenize
+            for y in "\x00".join(pieces).encode().decode("latin-1").translate(self.ALPHABET).split(self.ALPHABET[0]):
+                yield array("I", [t.id for t in tokenize(y)]).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of parts, but for those with which a text must be encoded whole."""
+        parts, letters, words, ended, several = self.parts, self._letters, {}, [], []
+        for part in new:
+            if letters(part):
+                words[part] = None
+            elif part[-1:] in (".", ",") and letters(word := part[:-1]):
+                ended.append((part, word))
+            elif part and not part[0].isspace() and not part[-1].isspace() and not any(x in part for x in self.added):
+                lines = part.split("\n")
+                # other white space isn't cut
+                several.append((part, lines if len(lines) == 1 or len(part.split()) == len(lines) else [part]))
+        starts, rest = {}, {}
+        for part, (head, *lines) in several:
+            word = head[:-1] if head[-1] in (".", ",") else head
+            if lines and letters(word):
+                ended.append((head, word))
+            elif head not in parts:
+                rest[" " + head] = None
+            for x in lines:
+                word = x[:-1] if x[-1] in (".", ",") else x
+                if "\n" + x in self.lines:
+                    continue
+                if letters(word):
+                    starts[word] = None
+                else:
+                    rest["\n" + x] = None
+        words.update(dict.fromkeys([word for _, word in ended]))
+        fresh = [x for x in words if x not in parts]
+        parts.update(zip(fresh, self._tokenized([" " + x for x in fresh])))
+        for part, word in ended:
+            parts[part] = parts[word] if len(part) == len(word) else parts[word] + (self.dot if part[-1] == "." else self.comma)
+        for word, ids in zip(starts, self._tokenized(list(starts))):
+            ids = self.line + ids
+            self.lines["\n" + word], self.lines[f"\n{word}."], self.lines[f"\n{word},"] = ids, ids + self.dot, ids + self.comma
+        for x, ids in zip(rest, self._whole(list(rest))):
+            (parts if x[0] == " " else self.lines)[x[x[0] == " " :]] = ids
+        for part, (head, *lines) in several:
+            if lines:
+                parts[part] = parts[head] + b"".join([self.lines["\n" + x] for x in lines])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """32-bit little-endian ids of each text."""
-        for known in (self.atoms, self.parts):
-            if 2 * len(known) > self.memory:
-                known.clear()
-        cut = [text.split(" ") if self.cuts and text and not text[-1].isspace() and not self.UNSAFE.search(text) else None for text in texts]
-        new = list({x for parts in cut if parts for x in parts[1:]}.difference(self.parts))
-        for low in range(0, len(new), self.TOGETHER):
-            self._learn(new[low : low + self.TOGETHER])
-        get, out = self.parts.__getitem__, []
-        for text, parts in zip(texts, cut):
-            if parts:
-                out.append((self._whole(parts[:1])[0] if parts[0] else b"") + b"".join(map(get, parts[1:])))
-            else:
-                out += self._whole([text])
+        if not self.cuts:
+            return self._whole(texts)
+        if len(self.parts) + len(self.lines) > self.memory:
+            self.parts.clear()
+            self.lines.clear()
+        get, held, new = self.parts.get, [], {}
+        for text in texts:
+            head, *parts = text.split(" ")
+            ids = list(map(get, parts))
+            open_ = [k for k, x in enumerate(ids) if x is None] if None in ids else ()
+            if open_:
+                new.update(dict.fromkeys([parts[k] for k in open_]))
+            held.append((head, parts if open_ else (), ids, open_))
+        self._learn(list(new))
+        fine, whole = [], []
+        for at, (head, parts, ids, open_) in enumerate(held):
+            for k in open_:
+                ids[k] = get(parts[k])
+            # white space at an end stays with what stands before it
+            (whole if (open_ and None in ids) or head[:1].isspace() or head[-1:].isspace() or any(x in head for x in self.added) else fine).append(at)
+        out: list[bytes] = [b""] * len(texts)
+        for at, head in zip(fine, self._whole([held[at][0] for at in fine])):
+            out[at] = head + b"".join(held[at][2])
+        for at, ids in zip(whole, self._whole([texts[at] for at in whole])):
+            out[at] = ids
         return out
 
 
@@ -291,33 +341,39 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file
 
     # texts are dealt before they become ids: the sampling of ranges then reads doc_ids alone
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    files = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "part int, file_no int, file string, n_docs long, n_tokens long")
-    # one row for each file: the tasks that count are those whose rows arrive here
-    rows = docs.sparkSession.createDataFrame(files.collect(), files.schema)
-    start = "coalesce(sum(n_tokens) over (order by part, file_no rows between unbounded preceding and 1 preceding), 0)"
-    rows.selectExpr("file", "n_docs", "n_tokens", f"cast({start} as bigint) as start").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    files = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST)
+    # one row for each file: the tasks that count are those whose rows arrive in the table
+    files.write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """part, file_no, file, n_docs, n_tokens, start: one row for each file."""
+    files = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    before = "rows between unbounded preceding and 1 preceding"
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("held")).selectExpr("part", f"coalesce(sum(held) over (order by part {before}), 0) as ahead")
+    inside = files.selectExpr("*", f"coalesce(sum(n_tokens) over (partition by part order by file_no {before}), 0) as inside")
+    return inside.join(parts, "part").selectExpr("part", "file_no", "file", "n_docs", "n_tokens", "cast(ahead + inside as bigint) as start")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids of every document in the files that the manifest names."""
-    schema = "file string, n_docs long, n_tokens long, start long"
-    manifest = spark.read.schema(schema).json(f"{path}/manifest")
-    held = {r.file: r.start for r in manifest.select("file", "start").toLocalIterator()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                docs, lengths, values = parse(data.as_py())
+            for name, first in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
+                with store.open_input_stream(f"{root}/{name}") as f:
+                    docs, lengths, values = parse(f.read())
                 ends = np.cumsum(lengths)
                 raw = pa.py_buffer(values.astype("<u4"))
                 offsets = pa.array(np.concatenate(([0], ends)) * 4, pa.int64())
                 ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(docs), [None, offsets.buffers()[1], raw]).cast(pa.binary())
-                start = pa.array(ends - lengths + held[name.rpartition("/")[2]], pa.int64())
-                made = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), start, pa.array(lengths), ids], names=["doc_id", "start", "n_tokens", "ids"])
+                made = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ends - lengths + first, pa.int64()), pa.array(lengths), ids], names=["doc_id", "start", "n_tokens", "ids"])
                 yield from (made.slice(low, 1000) for low in range(0, made.num_rows, 1000))
 
-    out = "doc_id long, start long, n_tokens long, ids binary"
-    if not held:
-        return spark.createDataFrame([], out)
-    files = spark.read.format("binaryFile").load([f"{path}/{name}" for name in held])
-    return files.select("path", "content").mapInArrow(run, out)
+    files = manifest(spark, path).select("file", "start")
+    # a file or, of very many, a few to a task
+    dealt = files.repartition(max(1, min(files.count(), 20_000)))
+    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
