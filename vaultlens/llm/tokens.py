@@ -183,35 +183,65 @@ def parse(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(names, nulls.tolist())], lengths, values
 
 
+class Memory:
+    """Ids by 64-bit key: sorted keys, and where each key's ids stand among all ids."""
+
+    def __init__(self):
+        self.keys, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def of(self, places: np.ndarray) -> list[bytes]:
+        return [self.ids[a : a + n].tobytes() for a, n in zip(self.starts[places].tolist(), self.counts[places].tolist())]
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """New keys, in ascending order."""
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = np.searchsorted(self.keys, keys)
+        self.starts = np.insert(self.starts, at, len(self.ids) + np.cumsum(counts) - counts)
+        self.counts, self.keys = np.insert(self.counts, at, counts), np.insert(self.keys, at, keys)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+
+
 class Encoder:
     """Whole texts to ids, as the tokenizer's own encode gives them.
 
-    Byte-level BPE never merges across the pieces that its pattern cuts. The pattern always cuts before a space that
-    follows a character other than white space, before a line end that has none on either side, and between letters and
-    a full stop or comma that ends them. So a text without white space beside a space is the sequence of its
-    space-separated parts, and a part that of its atoms (a space or line end and what follows it), each with its full
-    stop or comma. An atom that is one piece goes to the model, others to the tokenizer; about ``memory`` are
-    remembered. A text with a part that can't be cut so (white space at an end, a special token), and every text for other
-    kinds of tokenizers, is encoded in one piece.
+    Byte-level BPE never merges across the pieces that its pattern cuts, and the pattern always cuts before the last
+    character of a run of white space that other characters follow. So a text is the sequence of its parts, cut before each
+    single space or line end, and equal parts have equal ids: each is encoded once and remembered by a 64-bit
+    hash of its bytes (about ``memory`` parts). The tokenizer's model takes parts of letters, which are one piece each,
+    the whole tokenizer all others. A full stop or comma behind letters is a piece of its own, and so is a line end.
+    Texts for tokenizers of other kinds are encoded whole.
     """
 
     LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ſ]+")
     #: Byte-level alphabet: printable bytes are their own characters, the others follow behind Latin-1's.
     PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
     ALPHABET = dict(zip(PLAIN, map(chr, PLAIN))) | {x: chr(256 + k) for k, x in enumerate(sorted({*range(256)}.difference(PLAIN)))}
+    #: Bytes of white space, and those that may begin white space beyond ASCII.
+    SPACES, LEADS = [*range(9, 14), *range(28, 33)], [0xC2, 0xE1, 0xE2, 0xE3]
+    #: Bytes of text that are cut at once (more only for one text alone).
+    PIECE = 1 << 22
 
-    def __init__(self, tokenizer: str, memory: int = 1_200_000):
+    def __init__(self, tokenizer: str, memory: int = 2_000_000):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.whole = Tokenizer.from_file(tokenizer)
-        cut, model = self.whole.pre_tokenizer, self.whole.model
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        cut, model, added = self.whole.pre_tokenizer, self.whole.model, self.whole.get_added_tokens_decoder().values()
         self.cuts = isinstance(cut, pre_tokenizers.ByteLevel) and not cut.add_prefix_space and cut.use_regex and self.whole.normalizer is None
         self.cuts = self.cuts and isinstance(model, models.BPE) and not model.dropout and not (model.continuing_subword_prefix or model.end_of_word_suffix)
-        self.cuts = self.cuts and not any(c.isspace() for x in self.added for c in x)
-        #: Ids of parts (with the space before them), and of line ends with what follows them.
-        self.model, self.memory, self.parts, self.lines = model, memory, {}, {}
+        self.cuts = self.cuts and not any(t.lstrip or t.rstrip or t.single_word or any(map(str.isspace, t.content)) for t in added)
+        self.added, self.model, self.limit, self.memory = [t.content for t in added], model, memory, Memory()
         self.dot, self.comma, self.line = self._whole([".", ",", "\n"])
+        spaces, leads = np.isin(np.arange(256), self.SPACES), np.isin(np.arange(256), self.LEADS)
+        self.before, self.after = ~spaces, ~(spaces | leads)
+        rng = np.random.default_rng(1)
+        self.codes, self.powers = rng.integers(0, 1 << 64, 256, np.uint64), np.ones(1, np.uint64)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -219,82 +249,84 @@ class Encoder:
     def _letters(self, x: str) -> bool:
         return x.isalpha() and (x.isascii() or self.LATIN.fullmatch(x) is not None)
 
-    def _tokenized(self, pieces: list[str]) -> Iterator[bytes]:
-        """What the model makes of pieces of the pattern."""
+    def _learn(self, keys: np.ndarray, parts: list[str], stems: np.ndarray) -> None:
+        """Remember new parts. stems: the keys of the parts without their last byte."""
+        letters, tokenize, known, pieces, ended, rest = self._letters, self.model.tokenize, {}, {}, [], {}
+        have = self.memory.find(stems)
+        for k, part in enumerate(parts):
+            if letters(word := part[1:]) and part[0] in " \n":
+                pieces[part if part[0] == " " else word] = None
+            elif part[-1] in ".," and letters(word := part[1:-1]) and part[0] in " \n":
+                if have[k] < 0:
+                    pieces[part[:-1] if part[0] == " " else word] = None
+                ended.append(k)
+            else:
+                rest[part] = None
         if pieces:
-            tokenize = self.model.tokenize
-            for y in "\x00".join(pieces).encode().decode("latin-1").translate(self.ALPHABET).split(self.ALPHABET[0]):
-                yield array("I", [t.id for t in tokenize(y)]).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """Remember the ids of parts, but for those with which a text must be encoded whole."""
-        parts, letters, words, ended, several = self.parts, self._letters, {}, [], []
-        for part in new:
-            if letters(part):
-                words[part] = None
-            elif part[-1:] in (".", ",") and letters(word := part[:-1]):
-                ended.append((part, word))
-            elif part and not part[0].isspace() and not part[-1].isspace() and not any(x in part for x in self.added):
-                lines = part.split("\n")
-                # other white space isn't cut
-                several.append((part, lines if len(lines) == 1 or len(part.split()) == len(lines) else [part]))
-        starts, rest = {}, {}
-        for part, (head, *lines) in several:
-            word = head[:-1] if head[-1] in (".", ",") else head
-            if lines and letters(word):
-                ended.append((head, word))
-            elif head not in parts:
-                rest[" " + head] = None
-            for x in lines:
-                word = x[:-1] if x[-1] in (".", ",") else x
-                if "\n" + x in self.lines:
-                    continue
-                if letters(word):
-                    starts[word] = None
-                else:
-                    rest["\n" + x] = None
-        words.update(dict.fromkeys([word for _, word in ended]))
-        fresh = [x for x in words if x not in parts]
-        parts.update(zip(fresh, self._tokenized([" " + x for x in fresh])))
-        for part, word in ended:
-            parts[part] = parts[word] if len(part) == len(word) else parts[word] + (self.dot if part[-1] == "." else self.comma)
-        for word, ids in zip(starts, self._tokenized(list(starts))):
-            ids = self.line + ids
-            self.lines["\n" + word], self.lines[f"\n{word}."], self.lines[f"\n{word},"] = ids, ids + self.dot, ids + self.comma
-        for x, ids in zip(rest, self._whole(list(rest))):
-            (parts if x[0] == " " else self.lines)[x[x[0] == " " :]] = ids
-        for part, (head, *lines) in several:
-            if lines:
-                parts[part] = parts[head] + b"".join([self.lines["\n" + x] for x in lines])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """32-bit little-endian ids of each text."""
+            for x, y in zip(pieces, "\x00".join(pieces).encode().decode("latin-1").translate(self.ALPHABET).split(self.ALPHABET[0])):
+                known[x] = array("I", [t.id for t in tokenize(y)]).tobytes()
+        rest = dict(zip(rest, self._whole(list(rest))))
+        stem = dict(zip(found := [k for k in ended if have[k] >= 0], self.memory.of(have[found])))
+        ids = []
+        for k, part in enumerate(parts):
+            if (x := rest.get(part)) is None:
+                end = self.dot if part[-1] == "." else self.comma if part[-1] == "," else b""
+                if (x := stem.get(k)) is None:
+                    word = part[:-1] if end else part
+                    x = known[word] if word[0] == " " else self.line + known[word[1:]]
+                x += end
+            ids.append(x)
+        self.memory.add(keys, ids)
+
+    def _piece(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and their number by text, of texts that end at places of data; none is empty."""
+        cut = np.zeros(len(data), bool)
+        cut[1:-1] = ((data[1:-1] == 32) | (data[1:-1] == 10)) & self.before[data[:-2]] & self.after[data[2:]]
+        cut[ends - 1] = False
+        cut[0] = cut[ends[:-1]] = True
+        starts = np.flatnonzero(cut)
+        sizes = np.diff(starts, append=len(data))
+        if len(self.powers) < sizes.max():
+            self.powers = np.multiply.accumulate(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+        terms = self.codes[data] * self.powers[np.arange(len(data)) - np.repeat(starts, sizes)]
+        keys, first, of = np.unique(np.add.reduceat(terms, starts), return_index=True, return_inverse=True)
+        places = self.memory.find(keys)
+        if (new := np.flatnonzero(places < 0)).size:
+            if len(self.memory.keys) + len(new) > self.limit:
+                self.memory, new = Memory(), np.arange(len(keys))
+            at = starts[first[new]]
+            to = at + sizes[first[new]]
+            raw = data.tobytes()
+            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(at.tolist(), to.tolist())], keys[new] - terms[to - 1])
+            places = self.memory.find(keys)
+        at, counts = self.memory.starts[places][of], self.memory.counts[places][of]
+        upto = np.cumsum(counts)
+        ids = self.memory.ids[np.repeat(at - upto + counts, counts) + np.arange(upto[-1])]
+        last = upto[np.searchsorted(starts, ends) - 1]
+        return ids, np.diff(last, prepend=0)
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit ids of all texts (null: empty), and their number by text."""
         if not self.cuts:
-            return self._whole(texts)
-        if len(self.parts) + len(self.lines) > self.memory:
-            self.parts.clear()
-            self.lines.clear()
-        get, held, new = self.parts.get, [], {}
-        for text in texts:
-            head, *parts = text.split(" ")
-            ids = list(map(get, parts))
-            open_ = [k for k, x in enumerate(ids) if x is None] if None in ids else ()
-            if open_:
-                new.update(dict.fromkeys([parts[k] for k in open_]))
-            held.append((head, parts if open_ else (), ids, open_))
-        self._learn(list(new))
-        fine, whole = [], []
-        for at, (head, parts, ids, open_) in enumerate(held):
-            for k in open_:
-                ids[k] = get(parts[k])
-            # white space at an end stays with what stands before it
-            (whole if (open_ and None in ids) or head[:1].isspace() or head[-1:].isspace() or any(x in head for x in self.added) else fine).append(at)
-        out: list[bytes] = [b""] * len(texts)
-        for at, head in zip(fine, self._whole([held[at][0] for at in fine])):
-            out[at] = head + b"".join(held[at][2])
-        for at, ids in zip(whole, self._whole([texts[at] for at in whole])):
-            out[at] = ids
-        return out
+            each = self._whole([t or "" for t in texts.to_pylist()])
+            return np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+        data, full = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.flatnonzero(np.diff(offsets))
+        lengths, out, low = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)], 0
+        while low < len(full):
+            begin = offsets[full[low]]
+            high = max(low + 1, int(np.searchsorted(offsets[full + 1], begin + self.PIECE, "right")))
+            ends = offsets[full[low:high] + 1]
+            ids, lengths[full[low:high]] = self._piece(data[begin : ends[-1]], ends - begin)
+            out.append(ids)
+            low = high
+        return np.concatenate(out), lengths
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """32-bit little-endian ids of each text."""
+        ids, lengths = self.encoded(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids.astype("<u4"), np.cumsum(lengths)[:-1])] if texts else []
 
 
 @lru_cache(1)
@@ -323,19 +355,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file
 
         store.create_dir(root, recursive=True)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        end = array("I", [end_id]).tobytes()
-        pieces = (batch.slice(low, 1000) for batch in batches for low in range(0, batch.num_rows, 1000))
+        pieces = (batch.slice(low, 4000) for batch in batches for low in range(0, batch.num_rows, 4000))
         for batch in pieces:
-            encoded = encoder(tokenizer).encode([t or "" for t in batch.column("text").to_pylist()])
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoded):
-                ids = np.frombuffer(raw + end, "<u4")
-                if names and held + len(ids) > file_ids:
+            ids, many = encoder(tokenizer).encoded(batch.column("text"))
+            ends = np.cumsum(many)
+            ids, many = np.insert(ids, ends, end_id), many + 1
+            at = 0
+            for doc_id, n in zip(batch.column("doc_id").to_pylist(), many.tolist()):
+                if names and held + n > file_ids:
                     yield flush()
                     names, lengths, values, held = [], [], [], 0
                 names.append(doc_id)
-                lengths.append(len(ids))
-                values.append(ids)
-                held += len(ids)
+                lengths.append(n)
+                values.append(ids[at : at + n])
+                held += n
+                at += n
         if names:
             yield flush()
 
