@@ -45,7 +45,7 @@ def test_fingerprints_and_classes(crowded):
     assert sorted((str(r.doc_id), r.fp % 2**64, r.component_id) for r in rows) == sorted((str(r.doc_id), fps[r.text], least[classes[fps[r.text]]]) for r in have)
 
 
-@pytest.mark.parametrize("block", [4096, 7])
+@pytest.mark.parametrize("block", [4096, 7, 2])
 def test_links_hold_dense_classes_together(spark, block):
     rng, fps = random.Random(4), set()
     for _ in range(12):
@@ -83,3 +83,39 @@ def test_one_of_each_class_stays(crowded, nothing):
     ids = {r.component_id for r in all_.select("component_id").distinct().collect()}
     assert {r.doc_id for r in rows} == ids
     assert simhash.first_of_each(nothing).count() == 0
+
+
+def test_tally_counts_matching_bytes():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 1 << 64, (2, 5000), np.uint64)
+    b.view(np.uint8)[:] = np.where(rng.random(40_000) < 0.5, a.view(np.uint8), b.view(np.uint8))
+    want = (a[:, None].view(np.uint8) == b[:, None].view(np.uint8)).sum(1)
+    assert (simhash.tally(a ^ b) == want).all() and set(want) >= set(range(8))
+
+
+def test_tally_rejects_before_bits_are_verified(monkeypatch):
+    """Members of a posting share three bytes; those that share no fourth go by the tally, and only the rest have their bits counted."""
+    rng = np.random.default_rng(6)
+    members = np.unique(rng.integers(0, 1 << 64, 300, np.uint64) & ~np.uint64(0xFFFFFF) | np.uint64(0x123456))
+    members = np.unique(np.concatenate([members, members[:50] ^ np.uint64(1 << 40)]))
+    left, right = np.meshgrid(members, members)
+    enough = simhash.tally(left ^ right) >= 4
+    close = np.bitwise_count(left ^ right) <= 4
+    assert (simhash.near(left, right, 4) == close).all()  # nothing within the distance is lost
+    assert enough.sum() < 0.1 * enough.size and close.sum() < enough.sum()
+
+
+def test_choices_meet_every_pair():
+    """Any pair that matches in the guaranteed minimum of positions shares a posting."""
+    from itertools import combinations
+
+    for distance in range(8):
+        for match in combinations(range(8), 8 - distance):
+            assert any(set(c) <= set(match) for c in simhash.choices(distance))
+
+
+def test_one_of_alike_rows_is_the_same_on_each_run(spark):
+    rows = [(1, "same text of some words", "en", f"s{k}", k) for k in range(30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = {tuple(simhash.first_of_each(spark.createDataFrame(some, schema)).collect()) for some in (rows, rows[::-1])}
+    assert len(kept) == 1

@@ -8,17 +8,16 @@
 Two 64-bit fingerprints that differ in at most d bits differ in at most d of
 their 8 bytes, so at least 8 - d positional bytes match: the guaranteed minimum
 of the count filter. Postings of one positional byte hold 1/256 of all
-fingerprints and their pairs grow with the square of the corpus, so a posting is
-kept for each choice of that minimum number of positions (for d = 4 each of the
-70 choices of four bytes). A pair that reaches the minimum meets in a posting; for
-every pair of a posting the shared positional bytes are tallied, pairs below the
-minimum go, a pair is taken up only in the first of the postings that it shares,
-and the bits are verified.
+fingerprints, and their pairs grow with the square of the corpus; so a posting is kept for several positional
+bytes together. Of the matching bytes all but one, at least, stand in the first seven positions, so a posting for each
+choice of (minimum - 1) of these seven (for d = 4: 35 choices of three bytes) loses no pair. For every pair of a posting
+the positional bytes that match are tallied, pairs below the minimum go, and those that
+reach it are verified bit by bit. A pair is taken up only in the first of the postings that it shares.
 
 Postings stream through sorted partitions and are compared in blocks. A posting
 returns a spanning forest of its links (no more rows than members), never its
-pairs. Postings of more than BLOCK members are dealt over tasks, one for each pair
-of blocks, so that no task compares a long posting alone.
+pairs. Postings of more than BLOCK members are written out in blocks as they stream and dealt over tasks, one for each pair
+of blocks, so that no task holds or compares a long posting alone.
 
 Classes come from alternating large-star and small-star steps on the links, each
 stored in the shared folder, so no link or class ever reaches the driver.
@@ -26,7 +25,8 @@ stored in the shared folder, so no link or class ever reaches the driver.
 Edge cases: null or wordless text has fingerprint 0 and links like any other;
 fewer words than a shingle: the whole sequence is the shingle; equal rows share
 a class; null doc_id is a row of its class but never its id while another row has one (component_id is
-null only if all are); an empty table gives no rows; extra columns are ignored.
+null only if all are); an empty table gives no rows; texts are read whole, with the bits of 65,536 shingles at once;
+extra columns are ignored. Of rows alike in id and text one is kept, the same on each run (by the hash of all its columns).
 """
 
 from __future__ import annotations
@@ -76,10 +76,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
+def choices(distance: int = DISTANCE) -> list[tuple[int, ...]]:
+    """The byte positions that each kind of posting holds."""
+    least = 8 - distance
+    return list(combinations(range(7), least - 1) if least > 1 else combinations(range(8), least))
+
+
 def postings(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """key, fp for every choice of 8 - distance byte positions; the choice's number and bytes make the key."""
-    positions = list(combinations(range(8), 8 - distance))
-    masks = [sum(0xFF << 8 * p for p in at) for at in positions]
+    """choice, key, fp for every choice of byte positions; the choice's number and its bytes make the key."""
+    masks = [sum(0xFF << 8 * p for p in at) for at in choices(distance)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,6 +98,21 @@ def postings(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "choice short, key long, fp long")
 
 
+def tally(differ: np.ndarray) -> np.ndarray:
+    """How many of the 8 positional bytes match, from the bits in which two fingerprints differ."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    some = ((differ & low) + low | differ) & ~low  # the high bit of each byte that isn't zero
+    return 8 - np.bitwise_count(some).astype(np.int8)
+
+
+def near(left: np.ndarray, right: np.ndarray, distance: int) -> np.ndarray:
+    """Count filter, then the bits of the pairs that pass it."""
+    differ = left ^ right
+    found = tally(differ) >= 8 - distance
+    found[found] = np.bitwise_count(differ[found]) <= distance
+    return found
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the links between places a and b, enough to hold the same places together."""
     root: dict[int, int] = {}
@@ -111,22 +131,18 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _linked(left: np.ndarray, right: np.ndarray, choice: int, distance: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links between two blocks of a posting: tally of shared positional bytes, first shared posting, verified bits."""
-    positions, found = list(combinations(range(8), 8 - distance)), []
+    """Links between two blocks of a posting: tally of matching positional bytes, verified bits, first shared posting."""
+    mine, found = np.isin(np.arange(8), choices(distance)[choice]), []
     step = max(1, (1 << 20) // len(right))
     for at in range(0, len(left), step):
         part = left[at : at + step]
-        differ = part[:, None] ^ right[None, :]
-        near = np.bitwise_count(differ) <= distance
+        i, j = np.nonzero(near(part[:, None], right[None, :], distance))
         if same:
-            near &= np.arange(at, at + len(part))[:, None] < np.arange(len(right))[None, :]
-        i, j = np.nonzero(near)
+            i, j = i[i + at < j], j[i + at < j]
         if len(i):
-            shared = differ[i, j][:, None].view(np.uint8).reshape(-1, 8) == 0
-            mine = np.zeros(8, bool)
-            mine[list(positions[choice])] = True
-            # enough positional bytes match, and those of this choice are the first of them
-            first = (shared.sum(1) >= 8 - distance) & (shared & (np.cumsum(shared, 1) <= 8 - distance) == mine).all(1)
+            match = (part[i] ^ right[j])[:, None].view(np.uint8).reshape(-1, 8) == 0
+            # those of this choice are the first that match
+            first = (match & (np.cumsum(match, 1) <= mine.sum()) == mine).all(1)
             i, j = _forest(i[first] + at, j[first] + (0 if same else len(left)))
             found.append((i, j))
     if not found:
@@ -146,41 +162,53 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *rest], names=["a", "b", "choice", "key", "block"])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Postings arrive whole, one after another; the last of a batch waits for the next batch."""
-        held: list[tuple] = []
+        """Postings arrive one after another; the last of a batch waits for the next batch, in blocks if it is long."""
+        held, open_, written = [np.zeros(0, np.int16), np.zeros(0, np.int64), np.zeros(0, np.uint64)], None, 0
+
+        def in_blocks(choice, key, fp, first: int) -> pa.RecordBatch:
+            return out(fp, fp, choice[0], key[0], first + np.arange(len(fp)) // block)
 
         def done(choice, key, fp) -> Iterator[pa.RecordBatch]:
             cut = np.concatenate(([0], np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1])) + 1, [len(fp)]))
             n = np.diff(cut)
             pairs = cut[:-1][n == 2]
             # most postings with company have two members: all of them at once
-            a, b = fp[pairs], fp[pairs + 1]
-            near = np.bitwise_count(a ^ b) <= distance
-            made = [(a[near], b[near])]
+            close = near(fp[pairs], fp[pairs + 1], distance)
+            made = [(fp[pairs][close], fp[pairs + 1][close])]
             for at in np.flatnonzero(n > 2):
-                members = np.unique(fp[cut[at] : cut[at + 1]])
-                if len(members) > block:
-                    yield out(members, members, choice[cut[at]], key[cut[at]], np.arange(len(members)) // block)
+                rows = slice(cut[at], cut[at + 1])
+                if n[at] > block:
+                    yield in_blocks(choice[rows], key[rows], fp[rows], 0)
                 else:
+                    members = np.sort(fp[rows])
                     made.append(_linked(members, members, choice[cut[at]], distance, True))
             yield out(np.concatenate([x for x, _ in made]), np.concatenate([x for _, x in made]))
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
             now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "key", "fp")]
-            now[2] = now[2].view(np.uint64)
-            last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
-            ends = int(last[-1]) + 1 if len(last) else 0
-            if held and (ends or held[0][0][0] != now[0][0] or held[0][1][0] != now[1][0]):
-                yield from done(*[np.concatenate([*[h[i] for h in held], now[i][:ends]]) for i in range(3)])
-                held = [tuple(x[ends:] for x in now)]
-            else:
-                if ends:
-                    yield from done(*[x[:ends] for x in now])
-                held.append(tuple(x[ends:] for x in now))
-        if held:
-            yield from done(*[np.concatenate([h[i] for h in held]) for i in range(3)])
+            held = [np.concatenate([h, x.view(h.dtype)]) for h, x in zip(held, now)]
+            if not len(held[0]):
+                continue
+            if open_ is not None:  # a long posting goes on
+                other = np.flatnonzero((held[0] != open_[0]) | (held[1] != open_[1]))
+                upto = int(other[0]) if len(other) else len(held[0]) // block * block
+                if upto:
+                    yield in_blocks(*[x[:upto] for x in held], written)
+                    written += upto // block
+                    held = [x[upto:] for x in held]
+                if not len(other):
+                    continue
+                open_ = None
+            ends = int(np.flatnonzero((held[0] == held[0][-1]) & (held[1] == held[1][-1]))[0])
+            if ends:
+                yield from done(*[x[:ends] for x in held])
+                held = [x[ends:] for x in held]
+            if len(held[0]) > block:
+                open_, written = (held[0][0], held[1][0]), len(held[0]) // block
+                yield in_blocks(*[x[: written * block] for x in held], 0)
+                held = [x[written * block :] for x in held]
+        if len(held[0]):
+            yield from done(*held) if open_ is None else [in_blocks(*held, written)]
 
     def long(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         left, right, choice = key[2].as_py(), key[3].as_py(), key[0].as_py()
@@ -207,12 +235,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = spark.read.schema("u long, v long").parquet(f"{at}/{step}")
         # large star: every larger neighbour goes to the smallest of its neighbourhood
-        both = now.unionByName(now.selectExpr("v as u", "u as v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").selectExpr("v as u", "m as v").distinct()
+        both, edges = now.unionByName(now.selectExpr("v as u", "u as v")), now.count()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = common.by_key(both.filter("v > u"), least, ["u"], 2 * edges).selectExpr("v as u", "m as v").distinct()
         # small star: a node's smaller neighbours, and it, go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").selectExpr("if(v = m, u, v) as u", "m as v").filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = common.by_key(large, least, ["u"], edges).selectExpr("if(v = m, u, v) as u", "m as v").filter("u <> v").distinct()
         step += 1
         small.write.parquet(f"{at}/{step}")
         common.remove(spark, f"{at}/{step - 1}")
@@ -226,11 +254,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
     """Every document with its fingerprint, the smallest doc_id that it reaches and its class's root."""
     rows = common.stored(fingerprints(docs, shingle, seed), "simhash")
-    fps = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash")
+    fps = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash")
     classes = components(links(fps, distance))
-    named = fps.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(common.stored(named.join(ids, "root").select("fp", "root", "component_id"), "simhash"), "fp")
+    named = common.stored(fps.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "simhash")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = common.stored(common.by_key(named.select("fp", "root", F.col("n").alias("rows")), ids, ["root"], named.count()).withColumnRenamed("rows", "n"), "simhash")
+    return common.by_key(rows, named, ["fp"], rows.count())
 
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
@@ -245,4 +274,5 @@ def first_of(docs: DataFrame, classed: DataFrame) -> DataFrame:
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = packed.select("row", F.col("row.doc_id").alias("_id"), F.xxhash64("row.text").alias("_text"))
     held = rows.join(chosen, rows._id.eqNullSafe(chosen.doc_id) & (rows._text == chosen.text_hash), "left_semi")
-    return held.dropDuplicates(["_id", "_text"]).select("row.*")
+    alike = F.xxhash64(*[F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind])
+    return held.groupBy("_id", "_text").agg(F.min_by("row", alike).alias("row")).select("row.*")
