@@ -45,3 +45,39 @@ def test_kept_rows_are_whole(crowded, nothing):
     want = sorted(r.doc_id for r in quality.verdicts(crowded).collect() if r.kept)
     assert sorted(r.doc_id for r in kept.collect()) == want and want
     assert quality.kept(nothing).count() == 0 and quality.verdicts(nothing).count() == 0
+
+
+def percentile(values, q):
+    values = sorted(values)
+    return values[max(0, -(-q * len(values) // 100) - 1)]
+
+
+def test_cutoffs_come_from_each_groups_documents(spark):
+    """Against quantiles of the values themselves, which a sketch holds within 1/32."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for k in range(3000):
+        words = ["x" * max(2, round(rng.gauss(5 + (k % 4), 0.4))) + rng.choice("abcdef") for _ in range(80)]
+        words = [w + "%" * (rng.random() < 0.03 * (1 + k % 3)) for w in words]
+        rows.append((k, " ".join(words), "abcd"[k % 4], f"s{k % 3}"))
+    features = quality.features(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    cuts = {(r.lang, r.source): r for r in quality.thresholds(quality.sketches(features), prior=0).collect()}
+    groups = {}
+    for r in features.collect():
+        groups.setdefault((r.lang, r.source), []).append((1000000 * r.n_symbols // r.word_chars, 1000 * r.word_chars // r.n_words))
+    for key, values in groups.items():
+        for at, metric in enumerate(("symbols", "word_length")):
+            level, reach = quality.LEVELS[metric]
+            high, middle = (percentile([v[at] for v in values], q) for q in (level, 50))
+            want = high + reach * (high - middle)
+            assert abs(cuts[key][f"cut_{metric}"] - want) <= want * (1 + 2 * reach) / 32
+    for metric in ("symbols", "word_length"):
+        assert len({c[f"cut_{metric}"] for c in cuts.values()}) > 3
+
+
+def test_small_groups_follow_their_language_by_weight(spark):
+    sketch = spark.createDataFrame([("en", "big", "word_length", 150, 900), ("en", "small", "word_length", 190, 1)], "lang string, source string, metric string, bucket int, n long")
+    cuts = {r.source: r.cut_word_length for r in quality.thresholds(sketch).collect()}
+    alone = {r.source: r.cut_word_length for r in quality.thresholds(sketch, prior=0).collect()}
+    assert alone["big"] < cuts["small"] < alone["small"] and cuts["small"] - alone["big"] < (alone["small"] - alone["big"]) / 20

@@ -9,11 +9,16 @@ and with the same result, so a language's sketch is the sum of its sources'.
     thresholds(sketches)      -> lang, source and the cutoff of each metric
     judged(features, cutoffs) -> features with base_failed, kept
 
+No cutoff is fixed. A group's own cutoff of a metric is a high quantile of its documents and some times that quantile's
+distance from the median (LEVELS); where few documents have any of what the metric counts, so that this is next to
+nothing, it is where the group's documents that have some begin (the FLOOR percent least of them may
+be kept). A group's cutoff is drawn towards its language's, and a language's towards that of the whole corpus, as
+if PRIOR more documents had said so: groups of any size follow one rule.
+
 Everything is DataFrame and SQL expressions; no Python runs on executors.
 
 Edge cases: a null or empty text has no words and fails the base rule; null lang
-or source form groups of their own; a group under ``min_group`` documents uses the
-cutoffs of its language; an empty table gives an empty result; equal rows get equal verdicts; very
+or source form groups of their own; an empty table gives an empty result; equal rows get equal verdicts; very
 long texts are counted whole (n log n in their words); extra columns are ignored.
 """
 
@@ -23,12 +28,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-#: metric -> what is added to the fence, in millionths (word_length: thousandths of a character).
-SLACK = {"symbols": 20_000, "dup_lines": 450_000, "repeats": 450_000, "word_length": 2_500}
-#: A source's fence may exceed its language's (at least the slack) so many times.
-LEEWAY = 4
-REACH = 3
-MIN_GROUP = 100
+#: metric -> percent of a group's documents that a cutoff starts from, and times the distance from the median that it lies beyond.
+LEVELS = {"symbols": (90, 1), "dup_lines": (99, 1), "repeats": (99, 1), "word_length": (90, 2)}
+FLOOR, PRIOR = 5, 100
 
 METRICS = {
     "symbols": "1000000 * n_symbols div greatest(word_chars, 1)",
@@ -63,7 +65,8 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    return with_counts(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    """The counts of every document, stored: what reads them must not count again for each of its own filters."""
+    return common.stored(with_counts(docs.select("doc_id", "lang", "source", "text")).drop("text"), "quality")
 
 
 def sketches(counted: DataFrame) -> DataFrame:
@@ -84,26 +87,33 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, *keys: str, reach: int = REACH) -> DataFrame:
-    """Upper fence of each metric: third quartile plus reach times the quartiles' distance. n: documents."""
+def fences(sketch: DataFrame, *keys: str, levels: dict[str, tuple[int, int]] = LEVELS, floor: int = FLOOR) -> DataFrame:
+    """Each group's own cutoff of each metric, and n: its documents."""
     by = ", ".join([*keys, "metric"])
-    edge = "case when bucket < 32 then cast(bucket as bigint) else shiftleft(cast(bucket % 32 + 32 as bigint), bucket div 32 - 1) end"
-    at = lambda q: f"min(case when 4 * upto >= {q} * total then {edge} end)"
+    edge = lambda b: f"case when {b} < 32 then cast({b} as bigint) else shiftleft(cast({b} % 32 + 32 as bigint), cast({b} div 32 - 1 as int)) end"
+    level = "case metric " + " ".join(f"when '{m}' then {q}" for m, (q, _) in levels.items()) + " end"
+    reach = "case metric " + " ".join(f"when '{m}' then {r}" for m, (_, r) in levels.items()) + " end"
+    at = lambda q: f"min(case when 100 * upto >= {q} * total then top end)"
+    some = f"min(case when bucket > 0 and 100 * (upto - zeros) >= {floor} * (total - zeros) then edge - 1 end)"
     return (
-        sketch.selectExpr("*", f"sum(n) over (partition by {by} order by bucket) as upto", f"sum(n) over (partition by {by}) as total")
+        sketch.selectExpr("*", f"{edge('bucket')} as edge", f"{edge('(bucket + 1)')} - 1 as top", f"sum(n) over (partition by {by} order by bucket) as upto")
+        .selectExpr("*", f"sum(n) over (partition by {by}) as total", f"sum(if(bucket = 0, n, 0)) over (partition by {by}) as zeros")
         .groupBy(*keys, "metric")
-        .agg(F.expr(f"{at(3)} + {reach} * ({at(3)} - {at(1)})").alias("fence"), F.max("total").alias("n"))
+        .agg(F.expr(f"{at(level)} + {reach} * ({at(level)} - {at(50)})").alias("fence"), F.expr(some).alias("some"), F.max("total").alias("n"))
+        .selectExpr(*keys, "metric", "greatest(fence, coalesce(some, 0)) as fence", "n")
     )
 
 
-def thresholds(sketch: DataFrame, slack: dict[str, int] = SLACK, leeway: int = LEEWAY, reach: int = REACH, min_group: int = MIN_GROUP) -> DataFrame:
+def thresholds(sketch: DataFrame, levels: dict[str, tuple[int, int]] = LEVELS, floor: int = FLOOR, prior: int = PRIOR) -> DataFrame:
     """One row for each lang and source with cut_<metric>."""
-    own = fences(sketch, "lang", "source", reach=reach)
-    whole = fences(merged(sketch, "lang"), "lang", reach=reach).selectExpr("lang as _lang", "metric as _metric", "fence as _fence")
-    extra = F.expr("case metric " + " ".join(f"when '{m}' then {v}L" for m, v in slack.items()) + " end")
-    cut = F.when(F.col("n") < min_group, F.col("_fence")).otherwise(F.least("fence", leeway * F.greatest("_fence", extra))) + extra
-    joined = own.join(whole, own.lang.eqNullSafe(whole._lang) & (own.metric == whole._metric))
-    return joined.withColumn("cut", cut).groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col("cut"))).alias(f"cut_{m}") for m in slack])
+    drawn = lambda own, towards: F.expr(f"(n * {own} + {prior} * {towards}) div (n + {prior})")
+    whole = fences(merged(sketch), levels=levels, floor=floor).selectExpr("metric as _metric", "fence as _fence")
+    lang = fences(merged(sketch, "lang"), "lang", levels=levels, floor=floor)
+    # one row for each metric, and for each language and metric
+    lang = lang.join(whole, lang.metric == whole._metric).select(F.col("lang").alias("_lang"), "_metric", drawn("fence", "_fence").alias("_fence"))
+    own = fences(sketch, "lang", "source", levels=levels, floor=floor)
+    joined = own.join(lang, own.lang.eqNullSafe(lang._lang) & (own.metric == lang._metric)).withColumn("cut", drawn("fence", "_fence"))
+    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col("cut"))).alias(f"cut_{m}") for m in levels])
 
 
 def judged(counted: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -119,7 +129,7 @@ def judged(counted: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed and kept of every document."""
-    counted = common.stored(features(docs), "quality")
+    counted = features(docs)
     return judged(counted, thresholds(sketches(counted)))
 
 

@@ -143,19 +143,26 @@ m as materialized (
 s as (
   select lang, source, metric, case when v < 32 then v else (length(bin(v)) - 5) * 32 + (v >> (length(bin(v)) - 6)) - 32 end as bucket, count(*) as n
   from m where not base_failed group by all),
-s2 as (select *, false as pooled from s union all select lang, null, metric, bucket, sum(n), true from s group by lang, metric, bucket),
+s2 as (
+  select *, 3 as depth from s union all select lang, null, metric, bucket, sum(n), 2 from s group by lang, metric, bucket
+  union all select null, null, metric, bucket, sum(n), 1 from s group by metric, bucket),
 q as (
-  select lang, source, metric, pooled, case when bucket < 32 then bucket else (bucket % 32 + 32) << (bucket // 32 - 1) end as edge,
-    sum(n) over (partition by lang, source, metric, pooled order by bucket) as upto, sum(n) over (partition by lang, source, metric, pooled) as total
+  select lang, source, metric, depth, bucket, case when bucket < 32 then bucket else (bucket % 32 + 32) << (bucket // 32 - 1) end as edge,
+    (case when bucket + 1 < 32 then bucket + 1 else ((bucket + 1) % 32 + 32) << ((bucket + 1) // 32 - 1) end) - 1 as top,
+    sum(n) over (partition by lang, source, metric, depth order by bucket) as upto, sum(n) over (partition by lang, source, metric, depth) as total,
+    sum(case when bucket = 0 then n else 0 end) over (partition by lang, source, metric, depth) as zeros,
+    case metric when 'symbols' then 90 when 'word_length' then 90 else 99 end as level, case metric when 'word_length' then 2 else 1 end as reach
   from s2),
 fence as (
-  select lang, source, metric, pooled, max(total) as n,
-    min(case when 4 * upto >= 3 * total then edge end) + 3 * (min(case when 4 * upto >= 3 * total then edge end) - min(case when 4 * upto >= total then edge end)) as fence
+  select lang, source, metric, depth, max(total) as n,
+    greatest(
+      min(case when 100 * upto >= level * total then top end) + any_value(reach) * (min(case when 100 * upto >= level * total then top end) - min(case when 100 * upto >= 50 * total then top end)),
+      coalesce(min(case when bucket > 0 and 100 * (upto - zeros) >= 5 * (total - zeros) then edge - 1 end), 0)) as fence
   from q group by all),
-slack as (select unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) as metric, unnest([20000, 450000, 450000, 2500]) as slack),
+lang_cut as (select b.lang, b.metric, (b.n * b.fence + 100 * a.fence) // (b.n + 100) as cut from fence b join fence a on a.metric = b.metric and a.depth = 1 and b.depth = 2),
 cut as (
-  select a.lang, a.source, a.metric, slack + case when a.n < 100 then b.fence else least(a.fence, 4 * greatest(b.fence, slack)) end as cut
-  from fence a join fence b on a.lang is not distinct from b.lang and a.metric = b.metric and not a.pooled and b.pooled join slack on a.metric = slack.metric),
+  select a.lang, a.source, a.metric, (a.n * a.fence + 100 * b.cut) // (a.n + 100) as cut
+  from fence a join lang_cut b on a.lang is not distinct from b.lang and a.metric = b.metric and a.depth = 3),
 v as (
   select rid, bool_and(v <= coalesce(cut, 0)) as fine
   from m left join cut on m.lang is not distinct from cut.lang and m.source is not distinct from cut.source and m.metric = cut.metric group by rid)
