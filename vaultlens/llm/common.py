@@ -70,6 +70,19 @@ def by_key(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how:
     return near.unionByName(far)
 
 
+def salted(rows: DataFrame, table: DataFrame, keys: list[str], salt: Column, total: int, how: str = "left", hot: int = HOT) -> DataFrame:
+    """rows joined with table (one row for each key, and n as in by_key) whose rows are too wide to be broadcast.
+
+    A key that holds over 1/hot of total is cut into so many parts that none does, by salt, a hash; fewer than ``hot`` keys and numbers are
+    broadcast, and fewer than 2 * ``hot`` rows of table are added.
+    """
+    cut = table.withColumn("_parts", F.ceil(F.col("n") * hot / F.lit(max(total, 1))).cast("int")).drop("n")
+    few = F.broadcast(cut.filter("_parts > 1").select(*keys, "_parts"))
+    dealt = rows.join(few, keys, "left").withColumn("_part", F.pmod(salt, F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    spread = cut.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(spread, [*keys, "_part"], how).drop("_part")
+
+
 def ranked(df: DataFrame, keys: list[str], name: str, index: str = "rank") -> DataFrame:
     """All rows with their 0-based place in the order of keys, as column index.
 
