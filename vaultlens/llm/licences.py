@@ -1,14 +1,16 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences (at line ends, and after . ! ? ; : before white space), each sentence is
-normalised (lower case, letters and digits, single spaces) and mapped to the identifier of
-a known licence sentence, or to 0. The sequence of identifiers is then matched against
-ordered rules: a rule holds where its identifiers stand in a row, and rules are
+A text is cut into units (at line ends, and after . ! ? ; : before white space), each unit is normalised (lower case, letters and
+digits, single spaces), and numbers and letters of lists are left out. A known sentence is a row of at most UNITS units that together are its words: so
+line wraps, comment marks and full stops inside a sentence (v. 2.0) don't hide it, and it starts and ends with units. At each
+place the longest known sentence counts. The sequence of the sentences' identifiers, with 0 for
+what stands between them, is matched against ordered rules: a rule holds where its identifiers stand in a row, and rules are
 tried in order, so a longer rule takes its sentences before a shorter one sees them.
 
 Everything happens inside a row with DataFrame expressions: nothing is shuffled
-and no document meets another. The catalogue below has a fixed size; a
-longer one is passed as arguments of the same form.
+and no document meets another. Sentences are looked up in one map and rules are tried in one fold, so the plan doesn't grow with
+the catalogue; only texts with a word of each kind that known sentences hold (TELLING) are cut. Sentences and rules are arguments
+(licence_texts holds the default ones).
 
 Edge cases: null or empty texts hold no licence and give no rows; a licence that a
 text states several times is one row with its first place and count; equal rows give
@@ -20,96 +22,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Known licence sentences, normalised.
-SENTENCES = {
-    1: "licensed under the apache license version 2 0",
-    2: "licensed under the apache license version 2 0 the license",
-    3: "you may not use this file except in compliance with the license",
-    4: "you may obtain a copy of the license at",
-    5: "released under the mit license",
-    6: "licensed under the mit license",
-    7: "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    8: "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    9: "the software is provided as is without warranty of any kind express or implied",
-    10: "this work is licensed under the gnu general public license version 3",
-    11: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
-    12: "licensed under cc by nc 4 0",
-    13: "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-    14: "licensed under cc by 4 0",
-    15: "licensed under cc by sa 4 0",
-    16: "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    17: "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    18: "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    19: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    20: "this source code form is subject to the terms of the mozilla public license v 2 0",
-    21: "this work is dedicated to the public domain",
-    22: "all rights reserved",
-    23: "this program is distributed in the hope that it will be useful but without any warranty",
-    24: "either version 3 of the license or at your option any later version",
-}
-#: (licence, identifiers that stand in a row), tried in this order.
-RULES = [
-    ("BSD-3-Clause", (16, 17, 18, 19)),
-    ("BSD-2-Clause", (16, 17, 18)),
-    ("MIT", (7, 8, 9)),
-    ("Apache-2.0", (2, 3, 4)),
-    ("GPL-3.0-or-later", (11, 24, 23)),
-    ("GPL-3.0-or-later", (11, 24)),
-    ("MIT", (7, 8)),
-    ("MIT", (7,)),
-    ("Apache-2.0", (1,)),
-    ("Apache-2.0", (2,)),
-    ("MIT", (5,)),
-    ("MIT", (6,)),
-    ("GPL-3.0-only", (10,)),
-    ("GPL-unspecified", (11,)),
-    ("CC-BY-NC-4.0", (12,)),
-    ("CC-BY-NC-4.0", (13,)),
-    ("CC-BY-4.0", (14,)),
-    ("CC-BY-SA-4.0", (15,)),
-    ("MPL-2.0", (20,)),
-    ("Public-Domain", (21,)),
-    ("All-Rights-Reserved", (22,)),
-]
+from .licence_texts import FORM, OPENINGS, catalogue
 
+_CATALOGUE = catalogue()
+#: Known sentences by number, all wordings with their numbers, and rules.
+SENTENCES, KNOWN, RULES = _CATALOGUE.sentences, _CATALOGUE.known, _CATALOGUE.rules
+#: Every known sentence holds one of these, whatever the line wraps.
+TELLING = "(?i)licen[sc]e|copyright|warrant|redistribut|domain|rights|permission|software|wtfpl|gpl|cc[^a-z0-9]{1,3}by|cc0|free to copy|under (the |an? )?(eupl|creative|european)|acknowledge?ment|mozilla"
+UNITS = 40
 
-def sentence_ids(df: DataFrame, sentences: dict[int, str] = SENTENCES) -> DataFrame:
-    """df with column ids: each sentence's identifier or 0, in order."""
-    known = ", ".join(f"'{s}'" for s in sentences.values())
-    names = ", ".join(map(str, sentences))
-    # wordless sentences (a closing bracket, a dash) don't break a sequence
+
+def sentence_ids(df: DataFrame, known: dict[str, int] = KNOWN, units: int = UNITS, telling: str | None = TELLING) -> DataFrame:
+    """df with column ids: (id, at) of each known sentence in order, at: its first unit; id 0 for what stands between two; only rows that have some."""
+    words = "map_from_arrays(array({}), array({}))".format(", ".join(f"'{s}'" for s in known), ", ".join(map(str, known.values())))
+    first = ", ".join(f"'{w}'" for w in sorted({s.split(" ")[0] for s in known} | set(OPENINGS)))
+    if telling:
+        df = df.filter(F.col("text").rlike(telling))
     return (
         df.withColumn("_s", F.expr(r"regexp_replace(lower(coalesce(text, '')), '([.!?;:])[\\x20\\x09-\\x0D]+', '$1\n')"))
+        # (a) and 1) in front of a line
+        .withColumn("_s", F.expr(r"regexp_replace(_s, '(?m)^[^\\p{L}\\p{N}\n]*(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})\\)[\\x20\\x09]', '')"))
         .withColumn("_s", F.expr(r"split(trim(regexp_replace(regexp_replace(_s, '[^\\p{L}\\p{N}\n]+', ' '), ' *\n[ \n]*', '\n')), '\n')"))
-        .withColumn("ids", F.expr(f"transform(filter(_s, s -> s <> ''), s -> coalesce(get(array({names}), cast(array_position(array({known}), s) as int) - 1), 0))"))
-        .drop("_s")
+        .withColumn("_u", F.expr("filter(_s, s -> s <> '' and not s rlike '^([0-9]{1,2}|[a-z]|[ivx]{1,4})$')"))
+        .filter("size(_u) > 0")
+        .withColumn("_o", F.expr(f"filter(sequence(0, size(_u) - 1), i -> array_contains(array({first}), substring_index(_u[i], ' ', 1)))"))
+        .filter("size(_o) > 0")
+        .withColumn("_r", F.expr(f"transform(_o, i -> struct(i as at, try_element_at(filter(transform(sequence(1, least({units}, size(_u) - i)), k -> struct(try_element_at({words}, regexp_replace(array_join(slice(_u, i + 1, k), ' '), '{FORM}', 'under ')) as id, k as k)), r -> r.id is not null), -1) as r))"))
+        .withColumn("_r", F.expr("filter(_r, x -> x.r is not null)"))
+        .filter("size(_r) > 0")
+        .withColumn(
+            "ids",
+            F.expr("""aggregate(_r, struct(0 as next, cast(array() as array<struct<id: int, at: int>>) as seq), (s, x) -> if(x.at < s.next, s,
+                struct(x.at + x.r.k as next, concat(s.seq, if(size(s.seq) > 0 and x.at > s.next, array(struct(0 as id, s.next as at)), array()), array(struct(x.r.id as id, x.at as at))) as seq))).seq"""),
+        )
+        .drop("_s", "_u", "_o", "_r")
     )
 
 
 def matched(df: DataFrame, rules: list[tuple[str, tuple[int, ...]]] = RULES) -> DataFrame:
-    """df with column hits: (rule, licence, first sentence, times) of each rule that holds.
+    """df with column hits: (rule, licence, first_sentence, times) of each rule that holds.
 
     A rule's match is overwritten by marks of the same number of sentences, so that places stay.
     """
-    df = df.filter("exists(ids, i -> i > 0)").withColumn("_q", F.expr("concat(' ', array_join(ids, ' '), ' ')")).withColumn("hits", F.expr("cast(array() as array<struct<rule: int, licence: string, first_sentence: int, times: int>>)"))
-    for k, (licence, ids) in enumerate(rules):
-        # ids are parted by one space each; every id of a pattern keeps the space behind it
-        pattern, marks = "".join(f"{i} " for i in ids), "x " * len(ids)
-        found = f"locate(' {pattern}', _q) > 0"
-        first = f"size(split(substring_index(_q, ' {pattern}', 1), ' ')) - 1"
-        df = (
-            df.withColumn("_r", F.expr(f"if({found}, regexp_replace(_q, '(?<= ){pattern}', '{marks}'), _q)"))
-            .withColumn("_n", F.expr(f"size(regexp_extract_all(_q, '(?<= ){pattern}', 0))"))
-            .withColumn("hits", F.expr(f"if({found}, concat(hits, array(struct({k} as rule, '{licence}' as licence, cast({first} as int) as first_sentence, cast(_n as int) as times))), hits)"))
-            .withColumn("_q", F.col("_r"))
-            .drop("_r", "_n")
-        )
-    return df.drop("_q")
+    table = ", ".join(f"struct({k} as rule, '{licence}' as licence, '{''.join(f'<{i}>' for i in ids)}' as row, '{'<x>' * len(ids)}' as marks)" for k, (licence, ids) in enumerate(rules))
+    place = "ids[length(regexp_replace(substring_index(s.q, r.row, 1), '[^<]', ''))].at"
+    hit = f"struct(r.rule as rule, r.licence as licence, {place} as first_sentence, cast((length(s.q) - length(replace(s.q, r.row, ''))) div length(r.row) as int) as times)"
+    start = "struct(concat('', array_join(transform(ids, x -> concat('<', x.id, '>')), '')) as q, cast(array() as array<struct<rule: int, licence: string, first_sentence: int, times: int>>) as hits)"
+    fold = f"aggregate(array({table}), {start}, (s, r) -> if(contains(s.q, r.row), struct(replace(s.q, r.row, r.marks) as q, concat(s.hits, array({hit})) as hits), s)).hits"
+    return df.withColumn("hits", F.expr(fold)).filter("size(hits) > 0")
 
 
-def licences(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules: list[tuple[str, tuple[int, ...]]] = RULES) -> DataFrame:
-    """doc_id, licence, first_sentence (from 0, among sentences with words), times, rules: one row for each document and licence."""
-    found = matched(sentence_ids(docs.select("doc_id", "text"), sentences).select("doc_id", "ids"), rules)
+def licences(docs: DataFrame, known: dict[str, int] = KNOWN, rules: list[tuple[str, tuple[int, ...]]] = RULES) -> DataFrame:
+    """doc_id, licence, first_sentence (from 0, among units with words), times, rules: one row for each document and licence."""
+    telling = TELLING if known is KNOWN else None
+    found = matched(sentence_ids(docs.select("doc_id", "text"), known, telling=telling).select("doc_id", "ids"), rules)
     names = F.expr("array_distinct(transform(hits, h -> h.licence))")
     own = "filter(hits, h -> h.licence = licence)"
     rows = found.select("doc_id", "hits", F.explode(names).alias("licence"))
