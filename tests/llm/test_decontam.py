@@ -89,7 +89,30 @@ def test_distance_is_exact():
 
 
 @pytest.mark.parametrize("target", [0.8, 0.97])
-def test_tables_are_added_up_to_the_target(target):
+def test_tables_are_added_up_to_the_target_of_each_length(target):
+    rng = random.Random(3)
     bench, _ = planted()
+    vocabulary_ = vocabulary(rng, 900)
+    bench += [(100 + k, " ".join(rng.choice(vocabulary_) for _ in range(n))) for k, n in enumerate([1, 2, 4, 120, 300, 300, 700])]
     index = decontam.Index(bench, recall=target)
-    assert index.recall >= target or len(index.walks) == decontam.WALKS
+    assert set(index.recalls) == set(index.lengths) and index.recall >= target
+
+
+def test_long_edited_passages_are_found():
+    """Held-out copies of long items, with as many edits as are allowed, within other text."""
+    rng = random.Random(9)
+    pool, wanted, texts = vocabulary(rng, 900), [], []
+    bench = [(k, " ".join(rng.choice(pool) for _ in range(n))) for k, n in enumerate([120] * 5 + [300] * 5)]
+    for k in range(60):
+        item, text = rng.choice(bench)
+        piece = text.split()
+        for _ in range(int(0.2 * len(piece))):
+            at = rng.randrange(len(piece))
+            piece[at : at + rng.randrange(2)] = [] if rng.random() < 0.3 else [rng.choice(pool)]
+        around = [rng.choice(pool) for _ in range(200)]
+        around[100:100] = piece
+        texts.append(" ".join(around))
+        if edit_distance_inside(decontam.words(text), decontam.words(texts[-1])) <= int(0.2 * len(decontam.words(text)) + 1e-9):
+            wanted.append((k, item))
+    found = {(k, i) for k, i, _, _ in decontam.Index(bench).find(texts)}
+    assert len(wanted) > 30 and len(found & set(wanted)) >= 0.95 * len(wanted)

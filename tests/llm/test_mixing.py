@@ -52,6 +52,25 @@ def test_fit_is_nearest_within_capacity():
     assert mixing.fit([6000, 6001, 25], [1, 1, 4], 5069).tolist() == [1, 0, 0]  # 931 above is nearer than any sum below
 
 
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 3), min_size=1, max_size=5), st.floats(0, 3), st.sampled_from([1, 8, 50]))
+@settings(max_examples=300, deadline=None)
+def test_fit_is_nearest_whatever_the_window(cells, share, window):
+    """Targets far beyond what the programme looks at first: against brute force over all sums."""
+    lengths, counts = np.array(list(cells), np.int64), np.array(list(cells.values()), np.int64)
+    target = round(share * int((lengths * counts).sum()))
+    quota = mixing.fit(lengths, counts, target, window=window)
+    assert (quota <= 3 * counts).all()
+    assert abs(int((quota * lengths).sum()) - target) == nearest([n for n, c in cells.items() for _ in range(c)], target)
+
+
+def test_long_documents_beyond_the_first_window():
+    lengths, counts = np.array([70_001, 90_011, 130_003]), np.array([3, 2, 2])
+    for target in (200_000, 411_111, 1_000_003):
+        quota = mixing.fit(lengths, counts, target)
+        sums = [a * 70_001 + b * 90_011 + c * 130_003 for a in range(10) for b in range(7) for c in range(7)]
+        assert abs(int((quota * lengths).sum()) - target) == min(abs(x - target) for x in sums)
+
+
 def test_large_budgets_are_filled_greedily_first():
     lengths, counts = np.arange(1, 4000), np.full(3999, 7)
     quota = mixing.fit(lengths, counts, 31_000_001)

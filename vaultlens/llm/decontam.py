@@ -8,10 +8,10 @@ The CGK random walk reads a string through a pointer that each step's random
 function of the symbol under it moves on or leaves, so that two strings of small
 edit distance give sequences of small Hamming distance. A table samples SAMPLE
 steps of one walk; items and windows whose samples are equal are candidates.
-Tables are added, walk by walk, until copies of the items with as many random
-edits as allowed are found at the target recall (``Index.recall``; measured on at most
-TRIALS items). Every window of an item's length takes part, but for those that
-hold too few of the words of items of that length to be within the distance,
+For each item length walks are added until, of TRIALS copies of its items with as many random
+edits as allowed, the target recall is found (``Index.recalls``); after each WALKS walks samples become one step
+shorter, down to one, so that the target is reached for long items too. Every window of an item's length takes part, but for those that
+start with a word that no item of that length has, or hold too few of those words to be within the distance,
 which loses nothing.
 Candidates are verified by exact semi-global edit distance.
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WORDS = re.compile(r"\w+")
-SIMILARITY, RECALL, SAMPLE, TABLES, WALKS, TRIALS = 0.8, 0.97, 3, 4, 24, 200
+SIMILARITY, RECALL, SAMPLE, TABLES, WALKS, TRIALS = 0.8, 0.97, 3, 4, 16, 100
 BLOCK_WORDS, BATCH_WORDS, SEED = 2_000_000, 1 << 22, 17
 
 
@@ -52,28 +52,42 @@ class Index:
         self.similarity = similarity
         self.lengths = sorted({len(w) for _, w in self.items})
         self.longest = max(self.lengths, default=0)
-        rng = np.random.default_rng(seed)
-        self.walks: list[tuple[np.ndarray, list[np.ndarray]]] = []
-        by_length = {n: [k for k, (_, w) in enumerate(self.items) if len(w) == n] for n in self.lengths}
-        trial = {n: [k for k in rng.permutation(len(self.items))[:TRIALS] if len(self.items[k][1]) == n] for n in self.lengths}
-        joined = {n: np.concatenate([*[self.items[k][1] for k in mine], np.zeros(2 * n, np.int64)]) for n, mine in by_length.items()}
-        edited = {n: np.concatenate([*[self._edited(self.items[k][1], self.edits(n), rng) for k in mine], np.zeros(2 * n, np.int64)]) for n, mine in trial.items() if mine}
-        found = {n: np.zeros(len(mine), bool) for n, mine in trial.items()}
-        self.recall, self.tables = 1.0, {}
-        self.known = {n: np.isin(np.arange(len(self.vocabulary) + 1), joined[n][: -2 * n]) for n in self.lengths}
-        while self.items and len(self.walks) < WALKS and (not self.walks or self.recall < recall):
+        self.seed, self.walks = seed, []
+        self.recalls: dict[int, float] = {}
+        #: Of each length the tables of its walks: sorted keys and items.
+        self.tables: dict[int, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
+        self.known: dict[int, np.ndarray] = {}
+        for n in self.lengths:
+            mine = np.array([k for k, (_, w) in enumerate(self.items) if len(w) == n])
+            joined = np.concatenate([*[self.items[k][1] for k in mine], np.zeros(2 * n, np.int64)])
+            self.known[n] = np.isin(np.arange(len(self.vocabulary) + 1), joined[: -2 * n])
+            self.known[n][0] = False
+            self._add_tables(n, mine, joined, recall)
+        self.recall = min(self.recalls.values(), default=1.0)
+
+    def _walk(self, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        while k >= len(self.walks):
+            rng = np.random.default_rng((self.seed, at := len(self.walks)))
             factors = rng.integers(1, 1 << 62, 2 * self.longest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            self.walks.append((factors, [np.sort(rng.random(SAMPLE)) for _ in range(TABLES)]))
-            walk, last = len(self.walks) - 1, range(len(self.walks) - 1, len(self.walks))
-            for n, mine in by_length.items():
-                keys = self.keys(joined[n], np.arange(len(mine)) * n, n, last)[0]
-                for table in range(TABLES):
-                    order = np.argsort(keys[table], kind="stable")
-                    self.tables[n, walk, table] = keys[table][order], np.array(mine)[order]
-                if trial[n]:
-                    copies = self.keys(edited[n], np.arange(len(trial[n])) * 2 * n, n, last)[0]
-                    found[n] |= (copies == keys[:, np.searchsorted(mine, trial[n])]).any(0)
-            self.recall = float(np.concatenate(list(found.values())).mean())
+            self.walks.append((factors, [np.sort(rng.random(max(1, SAMPLE - at // WALKS))) for _ in range(TABLES)]))
+        return self.walks[k]
+
+    def _add_tables(self, n: int, mine: np.ndarray, joined: np.ndarray, recall: float) -> None:
+        rng, edits = np.random.default_rng((self.seed, n)), self.edits(n)
+        trial = np.resize(rng.permutation(len(mine)), TRIALS)
+        copies = np.concatenate([self._edited(self.items[mine[k]][1], edits, rng) for k in trial] + [np.zeros(2 * n, np.int64)])
+        # a copy can be found from its first words, as in a document
+        at = (np.arange(TRIALS) * 2 * n)[:, None] + np.arange(edits + 1)
+        of, place = np.nonzero(self.known[n][copies[at]])
+        starts, found, made = at[of, place], np.zeros(TRIALS, bool), []
+        while not made or found.mean() < recall:
+            self._walk(walk := len(made))
+            keys = self.keys(joined, np.arange(len(mine)) * n, n, range(walk, walk + 1))[0]
+            orders = np.argsort(keys, axis=1, kind="stable")
+            made.append([(keys[table][order], mine[order]) for table, order in enumerate(orders)])
+            hit = (self.keys(copies, starts, n, range(walk, walk + 1))[0] == keys[:, trial[of]]).any(0)
+            found[of[hit]] = True
+        self.tables[n], self.recalls[n] = made, float(found.mean())
 
     def edits(self, n: int) -> int:
         return int((1 - self.similarity) * n + 1e-9)
@@ -113,10 +127,10 @@ class Index:
             held = np.concatenate((upto[2 * n - 1 :], np.full(min(n - 1, len(ids)), upto[-1])))[: len(ids)] - upto[n - 1 : -1]
             starts = np.flatnonzero((held >= n - self.edits(n)) & known)
             pairs = []
-            keys = self.keys(ids, starts, n, range(len(self.walks))) if len(starts) else ()
+            keys = self.keys(ids, starts, n, range(len(self.tables[n]))) if len(starts) else ()
             for walk in range(len(keys)):
                 for table in range(TABLES):
-                    have, item = self.tables[n, walk, table]
+                    have, item = self.tables[n][walk][table]
                     left, right = np.searchsorted(have, keys[walk, table]), np.searchsorted(have, keys[walk, table], "right")
                     hit = np.flatnonzero(left < right)
                     many = (right - left)[hit]

@@ -7,9 +7,11 @@
 
 Documents are counted by exact length. A source's target is first given to every length in proportion;
 what that leaves (less than one document of each length) is filled greedily from
-long to short until at most CAPACITY words are open, and a bounded-knapsack
+long to short until at most WINDOW words are open, and a bounded-knapsack
 dynamic programme over the lengths' remaining counts then finds the nearest sum, below or above;
-where one more copy of each document gives no exact sum, further ones (up to the cap) join in.
+where one more copy of each document gives no exact sum, further ones (up to the cap) join in. If the sum found isn't as near as the
+lengths' common divisor allows, the programme gets a window eight times as wide, up to the whole target: the
+result is always the nearest sum that there is.
 A length's copies are dealt evenly over its documents; which of them get one more is decided by seeded hash.
 
 What meets in one task is the histogram of one source (one row for each distinct
@@ -20,7 +22,7 @@ Edge cases: null text has size 0; null source is a source, last in order; a
 source without words gets target 0 and takes nothing; documents of size 0 are
 taken 0 words; a document's repeats never exceed the cap; equal rows (same id,
 source and size) are interchangeable; an empty table gives no rows; extra columns
-are ignored.
+are ignored. Where rows become repeated rows, those alike in id and text are taken in the order of the hash of all their columns.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 11
-#: Words that the dynamic programme fits exactly, and hash buckets for the documents of one length.
-CAPACITY, BUCKETS = 1 << 16, 256
+#: Words that the dynamic programme fits at first, and hash buckets for the documents of one length.
+WINDOW, BUCKETS = 1 << 16, 256
 
 
 def sizes(docs: DataFrame, seed: int = SEED, whole: bool = False) -> DataFrame:
@@ -45,6 +47,7 @@ def sizes(docs: DataFrame, seed: int = SEED, whole: bool = False) -> DataFrame:
         F.coalesce("source", F.lit("")).alias("source"),
         n.alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"),
+        *([F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]).alias("alike")] if whole else []),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []),
     ).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
 
@@ -101,11 +104,8 @@ def _walk(lengths: np.ndarray, start: np.ndarray, limits: list[np.ndarray], open
     return quota, gap
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, target: int, cap: int = CAP, capacity: int = CAPACITY) -> np.ndarray:
-    """How many documents of each length to take (a document at most cap times) so that their words come nearest to target.
-
-    Targets up to capacity get the nearest sum that there is, larger ones the nearest to what the proportional part leaves.
-    """
+def fit(lengths: np.ndarray, counts: np.ndarray, target: int, cap: int = CAP, window: int = WINDOW) -> np.ndarray:
+    """How many documents of each length to take (a document at most cap times) so that their words come nearest to target."""
     lengths, counts = np.asarray(lengths, np.int64), np.where(np.asarray(lengths) > 0, counts, 0).astype(np.int64)
     whole, none = int((lengths * counts).sum()), np.zeros(len(lengths), np.int64)
     if target <= 0 or not whole:
@@ -114,20 +114,26 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: int, cap: int = CAP, ca
         return counts * cap
     # one time more than the whole source fits, and all repeats
     limits = [counts * min(cap, target // whole + 1), counts * cap]
-    quota = np.array([int(c) * target // whole for c in counts], np.int64)
-    open_ = target - int((quota * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        n = int(lengths[i])
-        if open_ <= capacity:
-            break
-        if n > 0 and (k := min(int(limits[0][i] - quota[i]), (open_ - capacity + n - 1) // n, open_ // n)) > 0:
-            quota[i] += k
-            open_ -= k * n
-    quota, gap = _walk(lengths, quota, limits, open_)
-    if gap and target <= capacity:
-        other, less = _walk(lengths, none, limits, target)
-        quota = other if less < gap else quota
-    return quota
+    # all sums are multiples of the lengths' common divisor
+    over = target % (step := int(np.gcd.reduce(lengths[counts > 0])))
+    possible, base, best = min(over, step - over), target, (none, target)
+    while True:
+        quota = np.array([int(c) * base // whole for c in counts], np.int64)
+        open_ = target - int((quota * lengths).sum())
+        for i in np.argsort(-lengths, kind="stable"):
+            n = int(lengths[i])
+            if open_ <= window:
+                break
+            if n > 0 and (k := min(int(limits[0][i] - quota[i]), (open_ - window + n - 1) // n, open_ // n)) > 0:
+                quota[i] += k
+                open_ -= k * n
+        quota, gap = _walk(lengths, quota, limits, open_)
+        best = (quota, gap) if gap < best[1] else best
+        if best[1] <= possible or not base:
+            return best[0]
+        # a wider window, and less of the target given in proportion
+        window = window * 8 if base < target else window
+        base = max(0, target - window)
 
 
 def fitted(cells: DataFrame, wanted: DataFrame, cap: int = CAP) -> DataFrame:
@@ -156,7 +162,7 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
     before = "coalesce(sum(n) over (partition by no_source, source, size order by bucket rows between unbounded preceding and 1 preceding), 0)"
     buckets = by_bucket.selectExpr("*", f"{before} as before").join(quotas, ["no_source", "source", "size"])
     buckets = buckets.selectExpr("no_source", "source", "size", "bucket", "each", "greatest(0, least(n, rest - before)) as more")
-    place = "row_number() over (partition by no_source, source, size, bucket order by h, doc_id)"
+    place = f"row_number() over (partition by no_source, source, size, bucket order by h, doc_id{', alike' if whole else ''})"
     passes = "if(source_size = 0, 0, cast(floor(target / source_size) as int))"
     dealt = sizes(docs, seed, whole=True) if whole else rows
     return (
