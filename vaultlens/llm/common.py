@@ -12,6 +12,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+def held(df: DataFrame, name: str, value: Column | str) -> DataFrame:
+    """df with one more column whose value is worked out once for each row.
+
+    Spark writes a column's expression into the filters, lambdas and projections that use it, where it would run once for each use and
+    element; it doesn't for the single element of an exploded array.
+    """
+    return df.select("*", F.explode(F.array(F.expr(value) if isinstance(value, str) else value)).alias(name))
+
+
 #: A key that holds over 1/HOT of all rows is hot: there are fewer than HOT such keys, however many rows there are.
 HOT = 10_000
 

@@ -9,7 +9,7 @@ tried in order, so a longer rule takes its sentences before a shorter one sees t
 
 Everything happens inside a row with DataFrame expressions: nothing is shuffled
 and no document meets another. Sentences are looked up in one map and rules are tried in one fold, so the plan doesn't grow with
-the catalogue; only texts with a word of each kind that known sentences hold (TELLING) are cut. Sentences and rules are arguments
+the catalogue; only texts with one of the words that known sentences hold (TELLING, OR) are cut. Sentences and rules are arguments
 (licence_texts holds the default ones).
 
 Edge cases: null or empty texts hold no licence and give no rows; a licence that a
@@ -22,41 +22,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from . import common
 from .licence_texts import FORM, OPENINGS, catalogue
 
 _CATALOGUE = catalogue()
 #: Known sentences by number, all wordings with their numbers, and rules.
 SENTENCES, KNOWN, RULES = _CATALOGUE.sentences, _CATALOGUE.known, _CATALOGUE.rules
-#: Every known sentence holds one of these, whatever the line wraps.
-TELLING = "(?i)licen[sc]e|copyright|warrant|redistribut|domain|rights|permission|software|wtfpl|gpl|cc[^a-z0-9]{1,3}by|cc0|free to copy|under (the |an? )?(eupl|creative|european)|acknowledge?ment|mozilla"
+#: Every known sentence holds one of these, or matches OR, in lower case and whatever the line wraps.
+TELLING, OR = ("licen", "copyright", "warrant", "redistribut", "domain", "rights", "permission", "software", "wtfpl", "gpl", "cc0", "copy", "eupl", "creative", "acknowledg", "mozilla"), "cc[^a-z0-9]+by"
 UNITS = 40
 
 
-def sentence_ids(df: DataFrame, known: dict[str, int] = KNOWN, units: int = UNITS, telling: str | None = TELLING) -> DataFrame:
+def sentence_ids(df: DataFrame, known: dict[str, int] = KNOWN, units: int = UNITS, telling: tuple[str, ...] = TELLING) -> DataFrame:
     """df with column ids: (id, at) of each known sentence in order, at: its first unit; id 0 for what stands between two; only rows that have some."""
     words = "map_from_arrays(array({}), array({}))".format(", ".join(f"'{s}'" for s in known), ", ".join(map(str, known.values())))
     first = ", ".join(f"'{w}'" for w in sorted({s.split(" ")[0] for s in known} | set(OPENINGS)))
+    df = common.held(df, "_l", "lower(coalesce(text, ''))")
     if telling:
-        df = df.filter(F.col("text").rlike(telling))
-    return (
-        df.withColumn("_s", F.expr(r"regexp_replace(lower(coalesce(text, '')), '([.!?;:])[\\x20\\x09-\\x0D]+', '$1\n')"))
-        # (a) and 1) in front of a line
-        .withColumn("_s", F.expr(r"regexp_replace(_s, '(?m)^[^\\p{L}\\p{N}\n]*(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})\\)[\\x20\\x09]', '')"))
-        .withColumn("_s", F.expr(r"split(trim(regexp_replace(regexp_replace(_s, '[^\\p{L}\\p{N}\n]+', ' '), ' *\n[ \n]*', '\n')), '\n')"))
-        .withColumn("_u", F.expr("filter(_s, s -> s <> '' and not s rlike '^([0-9]{1,2}|[a-z]|[ivx]{1,4})$')"))
-        .filter("size(_u) > 0")
-        .withColumn("_o", F.expr(f"filter(sequence(0, size(_u) - 1), i -> array_contains(array({first}), substring_index(_u[i], ' ', 1)))"))
-        .filter("size(_o) > 0")
-        .withColumn("_r", F.expr(f"transform(_o, i -> struct(i as at, try_element_at(filter(transform(sequence(1, least({units}, size(_u) - i)), k -> struct(try_element_at({words}, regexp_replace(array_join(slice(_u, i + 1, k), ' '), '{FORM}', 'under ')) as id, k as k)), r -> r.id is not null), -1) as r))"))
-        .withColumn("_r", F.expr("filter(_r, x -> x.r is not null)"))
-        .filter("size(_r) > 0")
-        .withColumn(
-            "ids",
-            F.expr("""aggregate(_r, struct(0 as next, cast(array() as array<struct<id: int, at: int>>) as seq), (s, x) -> if(x.at < s.next, s,
-                struct(x.at + x.r.k as next, concat(s.seq, if(size(s.seq) > 0 and x.at > s.next, array(struct(0 as id, s.next as at)), array()), array(struct(x.r.id as id, x.at as at))) as seq))).seq"""),
-        )
-        .drop("_s", "_u", "_o", "_r")
-    )
+        df = df.filter(" or ".join([*(f"contains(_l, '{w}')" for w in telling), f"_l rlike '{OR}'"]))
+    # (a) and 1) in front of a line are left out
+    lines = r"regexp_replace(regexp_replace(_l, '([.!?;:])[\\x20\\x09-\\x0D]+', '$1\n'), '(?m)^[^\\p{L}\\p{N}\n]*(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})\\)[\\x20\\x09]', '')"
+    cut = rf"split(trim(regexp_replace(regexp_replace({lines}, '[^\\p{{L}}\\p{{N}}\n]+', ' '), ' *\n[ \n]*', '\n')), '\n')"
+    df = common.held(df, "_u", f"filter({cut}, s -> s <> '' and not s rlike '^([0-9]{{1,2}}|[a-z]|[ivx]{{1,4}})$')").filter("size(_u) > 0")
+    starts = f"filter(sequence(0, size(_u) - 1), i -> array_contains(array({first}), substring_index(_u[i], ' ', 1)))"
+    row = f"transform(sequence(1, least({units}, size(_u) - i)), k -> struct(try_element_at({words}, regexp_replace(array_join(slice(_u, i + 1, k), ' '), '{FORM}', 'under ')) as id, k as k))"
+    df = common.held(df, "_r", f"filter(transform({starts}, i -> struct(i as at, try_element_at(filter({row}, r -> r.id is not null), -1) as r)), x -> x.r is not null)").filter("size(_r) > 0")
+    fold = """aggregate(_r, struct(0 as next, cast(array() as array<struct<id: int, at: int>>) as seq), (s, x) -> if(x.at < s.next, s,
+        struct(x.at + x.r.k as next, concat(s.seq, if(size(s.seq) > 0 and x.at > s.next, array(struct(0 as id, s.next as at)), array()), array(struct(x.r.id as id, x.at as at))) as seq))).seq"""
+    return common.held(df, "ids", fold).drop("_l", "_u", "_r")
 
 
 def matched(df: DataFrame, rules: list[tuple[str, tuple[int, ...]]] = RULES) -> DataFrame:
@@ -69,12 +62,12 @@ def matched(df: DataFrame, rules: list[tuple[str, tuple[int, ...]]] = RULES) ->
     hit = f"struct(r.rule as rule, r.licence as licence, {place} as first_sentence, cast((length(s.q) - length(replace(s.q, r.row, ''))) div length(r.row) as int) as times)"
     start = "struct(concat('', array_join(transform(ids, x -> concat('<', x.id, '>')), '')) as q, cast(array() as array<struct<rule: int, licence: string, first_sentence: int, times: int>>) as hits)"
     fold = f"aggregate(array({table}), {start}, (s, r) -> if(contains(s.q, r.row), struct(replace(s.q, r.row, r.marks) as q, concat(s.hits, array({hit})) as hits), s)).hits"
-    return df.withColumn("hits", F.expr(fold)).filter("size(hits) > 0")
+    return common.held(df, "hits", fold).filter("size(hits) > 0")
 
 
 def licences(docs: DataFrame, known: dict[str, int] = KNOWN, rules: list[tuple[str, tuple[int, ...]]] = RULES) -> DataFrame:
     """doc_id, licence, first_sentence (from 0, among units with words), times, rules: one row for each document and licence."""
-    telling = TELLING if known is KNOWN else None
+    telling = TELLING if known is KNOWN else ()
     found = matched(sentence_ids(docs.select("doc_id", "text"), known, telling=telling).select("doc_id", "ids"), rules)
     names = F.expr("array_distinct(transform(hits, h -> h.licence))")
     own = "filter(hits, h -> h.licence = licence)"
