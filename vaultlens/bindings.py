@@ -81,13 +81,6 @@ def b04_idle_hosts(spark, sf_dir):
     return j.to_enqueue(_hosts(spark, sf_dir), busy).select("host")
 
 
-@bound("select c_custkey, count(o_orderkey) as n, cast(coalesce(sum(cast(round(o_totalprice * 100) as bigint)), 0) as bigint) as excl from customer left join (select * from orders where o_orderstatus = 'O') on c_custkey = o_custkey group by c_custkey")
-def b05_volume_quota(spark, sf_dir):
-    orders = _t(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(F.expr(_cents("o_totalprice"))).alias("excl"))
-    joined = _t(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return joined.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("excl", F.lit(0)).alias("excl"))
-
-
 _SNAPSHOT_SQL = """
 with l as (select l_orderkey, cast(round(l_extendedprice * 100) as bigint) as refr, cast(round(l_tax * l_extendedprice * 100) as bigint) as excl, l_linenumber from lineitem),
 s as (select o_orderkey, cast(round(o_totalprice * 100) as bigint) as used, coalesce(sum(excl) filter (where l_linenumber <> 1), 0) as e, coalesce(sum(excl + refr) filter (where l_linenumber <> 1), 0) as t from orders left join l on o_orderkey = l_orderkey group by all)
@@ -122,11 +115,6 @@ def b08_task_state(spark, sf_dir):
     return tasks.select("user_id", "day", states.task_state(F.col("subtasks")).alias("state"))
 
 
-@bound("select user_id, arg_max(value, row(ts, event_id)) filter (where value <> 0) as speed from events group by user_id")
-def b09_last_nonzero(spark, sf_dir):
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.expr("max_by(value, struct(ts, event_id)) filter (where value <> 0)").alias("speed"))
-
-
 @bound("select cast(user_id as varchar) as task, cast(epoch_us(time_bucket(interval '5 seconds', ts)) // 1000 as bigint) as at_ms, arg_max(event_id, row(ts, event_id)) as event_id from events group by all")
 def b10_progress_sample(spark, sf_dir):
     from .streaming.progress import sampled
@@ -174,18 +162,6 @@ def b17_capitalize(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", text.capitalize(F.col("p_type")).alias("name"))
 
 
-@bound("select c_custkey, min(n_nationkey) as first_nation, count(*) as n from customer join nation on n_nationkey between c_nationkey - 1 and c_nationkey + 1 group by c_custkey")
-def b18_range_lookup(spark, sf_dir):
-    # a range of a fixed width is unrolled: the join stays an equality
-    wanted = _t(spark, sf_dir, "customer").select("c_custkey", F.explode(F.expr("sequence(c_nationkey - 1, c_nationkey + 1)")).alias("n_nationkey"))
-    return wanted.join(_t(spark, sf_dir, "nation"), "n_nationkey").groupBy("c_custkey").agg(F.min("n_nationkey").alias("first_nation"), F.count("*").alias("n"))
-
-
-@bound("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
-def b19_json_field(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-
-
 @bound("select o_orderkey, cast(1000 * date_diff('second', o_orderdate, max(l_shipdate)) as bigint) as duration from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey, o_orderdate")
 def b20_duration(spark, sf_dir):
     ends = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("end"))
@@ -193,25 +169,6 @@ def b20_duration(spark, sf_dir):
     return rows.select("o_orderkey", b.duration(_ms("o_orderdate"), _ms("end")).alias("duration"))
 
 
-@bound("select event_id, epoch_us(ts) // 1000 as ms from events")
-def b21_epoch_ms(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", _ms("ts").alias("ms"))
-
-
-@bound(r"select c_custkey, try_cast(regexp_extract(regexp_extract(c_name, '[0-9].*', 0), '^\s*([+-]?[0-9]+)', 1) as bigint) as n from customer")
-def b22_number_parse(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select("c_custkey", numbers.parse_int(F.regexp_extract("c_name", "[0-9].*", 0)).alias("n"))
-
-
-@bound("select event_id, case when coalesce(max(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) = 1 and event_type <> 'click' then 'ABORTED' else upper(event_type) end as state from events")
-def b23_abort_propagation(spark, sf_dir):
-    # clicks stand for steps that run whatever failed; steps behind a failure are aborted
-    rows = _t(spark, sf_dir, "events").selectExpr("event_id", "user_id", "ts", "event_type")
-    before = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    failed = F.coalesce(F.max(F.col("event_type") == "error").over(before), F.lit(False))
-    return rows.select("event_id", F.when(failed & (F.col("event_type") != "click"), "ABORTED").otherwise(F.upper("event_type")).alias("state"))
-
-
 @bound("select o_orderkey as number, cast(round(o_totalprice * 100) as bigint) * case when o_orderstatus = 'F' then 2 else 1 end as fileSize from orders where o_totalprice >= 50000")
 def b24_upsert(spark, sf_dir):
     have = _backups(spark, sf_dir)
@@ -233,11 +190,6 @@ def b26_known_hosts(spark, sf_dir):
     return b.known(_hosts(spark, sf_dir), listed).select("host", F.col("pos").cast("bigint").alias("pos"))
 
 
-@bound("select '0/' || c_custkey as key, 'customer' as kind from customer union all select '1/' || s_suppkey, 'supplier' from supplier")
-def b27_union_ids(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").selectExpr("concat('0/', c_custkey) as key", "'customer' as kind").unionByName(_t(spark, sf_dir, "supplier").selectExpr("concat('1/', s_suppkey) as key", "'supplier' as kind"))
-
-
 @bound("select o_orderkey as number, cast(round(o_totalprice * 100) as bigint) as fileSize from orders order by o_orderkey desc limit 10 offset 10")
 def b28_page(spark, sf_dir):
     return b.page(_backups(spark, sf_dir), 1).select("number", "fileSize")
@@ -251,15 +203,3 @@ def b29_ratio(spark, sf_dir):
 @bound(f"select {_STATE} as state, list_sort(list(event_id)) as ids, count(*) as n from events group by 1")
 def b30_group_list(spark, sf_dir):
     return j.by_state(_jobs(spark, sf_dir))
-
-
-@bound("select vec_id, cast(unnest(range(len(embedding))) as int) as pos, cast(unnest(embedding) as double) as value from embeddings")
-def b31_nested_explode(spark, sf_dir):
-    return _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", "pos", F.col("v").cast("double").alias("value"))
-
-
-@bound("select user_id, event_id, event_type from events where date_trunc('day', ts) = (select max(date_trunc('day', ts)) from events)")
-def b32_current_snapshot(spark, sf_dir):
-    events = _t(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts"))
-    last = events.agg(F.max("day").alias("day"))  # one row
-    return events.join(F.broadcast(last), "day", "left_semi").select("user_id", "event_id", "event_type")

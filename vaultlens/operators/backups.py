@@ -66,6 +66,15 @@ def require_host(hosts: DataFrame, host: str) -> None:
         raise LookupError(f"{host} is not a known host")
 
 
+def subvolume_ids(wanted: DataFrame, subvolumes: DataFrame) -> DataFrame:
+    """JN-08: wanted (host, number) with the id of the first subvolume of that host and number, by place; null without one.
+
+    subvolumes: id, host, number, place.
+    """
+    first = subvolumes.groupBy("host", "number").agg(F.min_by("id", "place").alias("id"))
+    return wanted.join(first, ["host", "number"], "left")
+
+
 def duration(start: Column, end: Column) -> Column:
     """PRJ-08: null without an end (0 is none)."""
     return F.when(F.coalesce(end, F.lit(0)) != 0, end - start)

@@ -57,6 +57,16 @@ def lock_active(locks: DataFrame, jobs: DataFrame) -> DataFrame:
     return locks.join(owner, "locked_by", "left").select("host", F.coalesce(F.col("owner_state") == "active", F.lit(False)).alias("locked"))
 
 
+def lock_text(locks: DataFrame) -> DataFrame:
+    """FN-27: host and what its lock file holds: the job's id and name as JSON. locks: host, id, name."""
+    return locks.select("host", F.to_json(F.struct("id", "name")).alias("content"))
+
+
+def lock_content(texts: DataFrame) -> DataFrame:
+    """FN-27: host, id, name of lock files' texts; null for text that isn't JSON."""
+    return texts.select("host", F.from_json("content", "id bigint, name string").alias("c")).select("host", "c.id", "c.name")
+
+
 def merged_schedule(configs: DataFrame, scheduler: DataFrame | None = None) -> DataFrame:
     """PRJ-18: each host's schedule over the default one, field by field; backupToKeep is taken whole."""
     default = SCHEDULER_DEFAULTS["defaultSchedule"]
