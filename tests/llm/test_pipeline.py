@@ -53,6 +53,14 @@ def test_every_stage_takes_effect(spark, crowded, tmp_path):
     assert sorted(map(str, whole)) == sorted(map(str, sharded))
 
 
+def test_empty_tables(spark, docs, nothing, tmp_path):
+    for name, df, bench in (("none", nothing, [(1, "some words of an item here")]), ("free", docs, [])):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        have = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert (have.count() == 0) == (name == "none") and "shard" in have.columns
+
+
 def test_query_contracts(spark, tmp_path):
     rows = corpus()
     for name, df in {

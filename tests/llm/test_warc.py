@@ -1,4 +1,5 @@
 import gzip
+import io
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -79,6 +80,32 @@ def test_reads_files(spark, tmp_path):
     assert found.outcome == "resolved" and found.headers == {"etag": '"1"', "content-length": "4", "expires": "later"}
 
 
+def test_records_come_from_a_stream(monkeypatch):
+    """Members of their own, records across chunks, wrong and missing lengths: against the records as written."""
+    monkeypatch.setattr(warc, "CHUNK", 7)
+
+    def record(k, http, length=None):
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {k}\r\nWARC-Date: {'2024-01-01T00:00:00Z' if k % 2 else 'no date'}\r\n" + ("" if length == "" else f"Content-Length: {length or len(http)}\r\n")
+        return head.encode() + b"\r\n" + http + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nX: " + b"y" * 50 + b"\r\n\r\nbody of some length"
+    parts = [record(0, http), record(1, http), record(2, http, 30), record(3, http, ""), record(4, http, "many"), record(5, http)]
+    want = [(str(k), http.partition(b"\r\n\r\n")[2] if k in (0, 1, 5) else b"", bool(k % 2)) for k in range(6)]
+    for data in (b"".join(parts), gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts))):
+        have = [(r["record_id"], r["body"], r["ts"] is not None) for r in warc.records(io.BytesIO(data))]
+        assert have == want
+    assert [r["body"] for r in warc.records(io.BytesIO(record(6, http, 10_000)))] == [http.partition(b"\r\n\r\n")[2] + b"\r\n\r\n"]
+    assert list(warc.records(io.BytesIO(b""))) == [] == list(warc.records(io.BytesIO(b"WARC/1.1\r\nno end")))
+
+
+def test_repeated_rows_and_long_headers(spark):
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    long = {"etag": '"1"', "x": "y" * 200_000}
+    rows = [(1, "a.org", start, "response", 200, long, None)] * 2 + [(2, "a.org", start + timedelta(1), "revisit", 304, {"etag": '"1"'}, None)] * 3
+    have = warc.resolved(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.record_id, r.outcome, r.headers["x"]) for r in have] == [(2, "resolved", long["x"])] * 3
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, "http://a.org", "x"), (2, None, "y"), (3, "http://b.org", None), (4, "http://c.org", "")], "page_id long, url string, html string")
     assert sorted((r.record_id, r.outcome) for r in warc.resolved(warc.records_of_pages(pages)).collect()) == [(1, "resolved"), (2, "unmatched"), (3, "no_validator"), (4, "no_validator")]

@@ -8,7 +8,7 @@ counts differ by one at most). Both ranks come from range-partitioned sorts
 
 Edge cases: null sources are one source, last; null or empty text has size 1 and
 crc 0; equal rows may change places with each other only, so the result is the
-same on a rerun; an empty table gives no rows; with fewer rows than shards the
+same on a rerun; texts of any length are hashed whole and don't move; an empty table gives no rows; with fewer rows than shards the
 first ranks' shards stay empty or hold one row; extra columns are ignored.
 """
 

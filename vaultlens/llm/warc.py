@@ -19,12 +19,16 @@ tasks as it needs. A running last response is taken within each partition and UR
 starts with comes from a window over one row for each URL and partition. Bodies never move.
 
 Edge cases: null URL or time: ``unmatched``; null headers count as none; a response without headers still
-counts; equal rows give their own rows; an empty table gives no rows; extra columns are ignored.
+counts; equal rows give their own rows (the query op5 returns them as they are, its SQL for pages with ids of their own); an empty table gives
+no rows; headers of any length are taken whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -39,36 +43,108 @@ TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid)(=|$)"
 RECORD = "record_id string, url string, ts timestamp, kind string, status int, headers map<string,string>, digest string, body binary"
 
 
+#: Bytes that are read from a file at once.
+CHUNK = 1 << 20
+
+
+class _Stream:
+    """A file's bytes, unpacked member by member if it is gzip; no more than a chunk and a record are held."""
+
+    def __init__(self, file):
+        self.file, self.data, self.packed, self.unpacker = file, b"", None, None
+
+    def more(self) -> bool:
+        raw = self.file.read(CHUNK)
+        if self.packed is None:
+            self.packed = raw[:2] == b"\x1f\x8b"
+        if not self.packed:
+            self.data += raw
+            return bool(raw)
+        while raw:
+            self.unpacker = self.unpacker or zlib.decompressobj(31)
+            self.data += self.unpacker.decompress(raw)
+            raw = self.unpacker.unused_data.lstrip(b"\0") if self.unpacker.eof else b""
+            if self.unpacker.eof:
+                self.unpacker = None
+            if not raw:
+                return True
+        return False
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before a mark, which goes too; None if it doesn't come."""
+        start = 0
+        while (at := self.data.find(mark, start)) < 0:
+            start = max(0, len(self.data) - len(mark) + 1)
+            if not self.more():
+                return None
+        found, self.data = self.data[:at], self.data[at + len(mark) :]
+        return found
+
+    def take(self, n: int) -> bytes:
+        parts, had = [self.data], len(self.data)
+        while had < n:
+            self.data = b""
+            if not self.more():
+                break
+            parts.append(self.data)
+            had += len(self.data)
+        whole = b"".join(parts)
+        self.data = whole[n:]
+        return whole[:n]
+
+
+def _block(raw: bytes) -> tuple[str, dict[str, str]]:
+    first, *rest = raw.decode("utf-8", "replace").split("\r\n")
+    return first, {k.strip().lower(): v.strip() for k, found, v in (x.partition(":") for x in rest) if found}
+
+
+def records(file) -> Iterator[dict]:
+    """The response and revisit records of an open file, one after another."""
+    stream = _Stream(file)
+    # what stands before a record's version (line ends, the rest of a body longer than it says) is skipped
+    while stream.until(b"WARC/") is not None and (raw := stream.until(b"\r\n\r\n")) is not None:
+        _, head = _block(raw)
+        n = head.get("content-length", "")
+        body = stream.take(int(n) if n.isdigit() else 0)
+        if (kind := head.get("warc-type")) in ("response", "revisit"):
+            http, _, payload = body.partition(b"\r\n\r\n")
+            line, headers = _block(http)
+            code = (line.split() + ["", ""])[1]
+            try:
+                ts = datetime.fromisoformat(head["warc-date"].replace("Z", "+00:00"))
+            except (KeyError, ValueError):
+                ts = None
+            yield {"record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"), "ts": ts, "kind": kind, "status": int(code) if code.isdigit() else None, "headers": list(headers.items()), "digest": head.get("warc-payload-digest"), "body": payload}
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The response and revisit records of WARC files; a file is read whole in one task."""
+    """The response and revisit records of WARC files (plain, or gzip whole or by record).
+
+    Spark lists the files; each is read as a stream by one task through pyarrow's file systems, so that a task holds one record and not the file. A record without a content
+    length, or with one that isn't a number, has an empty body, and one whose length is too short loses the rest; reading goes on at the next record in both cases. A length
+    beyond the file's end takes what is there. A date that can't be read is null.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-        from datetime import datetime
+        from pyarrow import fs
 
         schema = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("ts", pa.timestamp("us", "UTC")), ("kind", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("body", pa.binary())])
-
-        def block(raw: bytes) -> tuple[str, dict[str, str]]:
-            first, *rest = raw.decode("utf-8", "replace").split("\r\n")
-            return first, {k.strip().lower(): v.strip() for k, found, v in (x.partition(":") for x in rest) if found}
-
         for batch in batches:
-            for content in batch.column("content"):
-                data, at, rows = content.as_py(), 0, []
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                while (at := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", at)) >= 0:
-                    _, head = block(data[at:end])
-                    body, at = data[end + 4 : end + 4 + int(head.get("content-length", 0))], end + 4 + int(head.get("content-length", 0))
-                    if (kind := head.get("warc-type")) in ("response", "revisit"):
-                        http, _, payload = body.partition(b"\r\n\r\n")
-                        line, headers = block(http)
-                        code = (line.split() + ["", ""])[1]
-                        ts = datetime.fromisoformat(head["warc-date"].replace("Z", "+00:00")) if "warc-date" in head else None
-                        rows.append({"record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"), "ts": ts, "kind": kind, "status": int(code) if code.isdigit() else None, "headers": list(headers.items()), "digest": head.get("warc-payload-digest"), "body": payload})
-                for low in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_pylist(rows[low : low + 500], schema)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORD)
+            for name in batch.column("path").to_pylist():
+                store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with store.open_input_stream(at, compression=None) as file:
+                    rows, size = [], 0
+                    for record in records(file):
+                        rows.append(record)
+                        size += len(record["body"])
+                        if len(rows) == 500 or size > 8 * CHUNK:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, size = [], 0
+                    if rows:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    # the files' content isn't read here
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(parse, RECORD)
 
 
 def canonical_url(url: Column) -> Column:
