@@ -57,24 +57,29 @@ def final(rows: DataFrame, key: str = "task", order: str = "seq") -> DataFrame:
     return rows.groupBy(key).agg(*[F.expr(f"max_by({f}, {order}) filter (where {f} is not null)").alias(f) for f in FIELDS])
 
 
-def stream(rows: DataFrame) -> DataFrame:
+def stream(rows: DataFrame, forget_ms: int = 86_400_000) -> DataFrame:
     """The running record of each task as its lines arrive: task, seq and the fields, one row for each line that reports.
 
-    rows: a stream with columns task, seq and parsed fields. A task's lines of one batch are taken in the order of seq.
+    rows: a stream with columns task, seq and parsed fields. A task's lines of one batch are taken in the order of seq. A task
+    without lines for forget_ms is forgotten.
     """
     numbers_ = ", ".join(f"{f} double" for f in FIELDS)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        record = list(state.get) if state.exists else [None] * len(FIELDS)
-        out = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            record = [had if pd.isna(new) else float(new) for had, new in zip(record, (getattr(row, f) for f in FIELDS))]
-            if row.emits:
-                out.append((key[0], row.seq, *record))
-        state.update(tuple(record))
-        yield pd.DataFrame(out, columns=["task", "seq", *FIELDS])
-
-    return rows.groupBy("task").applyInPandasWithState(fold, f"task string, seq long, {numbers_}", numbers_, "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(batches)).sort_values("seq")
+        had = pd.DataFrame([state.get if state.exists else (None,) * len(FIELDS)], columns=list(FIELDS), dtype=float)
+        record = pd.concat([had, new[list(FIELDS)].astype(float)]).ffill()
+        state.update(tuple(None if pd.isna(x) else float(x) for x in record.iloc[-1]))
+        state.setTimeoutDuration(forget_ms)
+        out = record.iloc[1:].reset_index(drop=True)
+        out.insert(0, "seq", new["seq"].to_numpy())
+        out.insert(0, "task", key[0])
+        yield out[new["emits"].to_numpy(dtype=bool)]
+
+    return rows.groupBy("task").applyInPandasWithState(fold, f"task string, seq long, {numbers_}", numbers_, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def sampled(updates: DataFrame, every: str = "5 seconds", key: str = "task", time: str = "ts", order: str = "seq") -> DataFrame:
