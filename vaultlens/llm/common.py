@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -21,6 +22,9 @@ def held(df: DataFrame, name: str, value: Column | str) -> DataFrame:
     return df.select("*", F.explode(F.array(F.expr(value) if isinstance(value, str) else value)).alias(name))
 
 
+#: Folders of the tables that stored has written.
+_made: list[str] = []
+
 #: A key that holds over 1/HOT of all rows is hot: there are fewer than HOT such keys, however many rows there are.
 HOT = 10_000
 
@@ -46,9 +50,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again: lineage ends here and lost executors cost nothing before it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """stored(make()), and the tables that were stored on the way to it are deleted."""
+    mark = len(_made)
+    out = stored(make(), name)
+    for path in _made[mark:-1]:
+        remove(spark, path)
+    del _made[mark:-1]
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
