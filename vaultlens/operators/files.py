@@ -7,10 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text
 
 
+#: Fixed value: the message that callers know, spelling included.
+NOT_ABSOLUTE = "Only absolute path can be used to serach for directory"
+
+
 def require_absolute(*paths: str) -> None:
     """FLT-05."""
     if not all(p.startswith("/") for p in paths):
-        raise ValueError("Only absolute path can be used to serach for directory")
+        raise ValueError(NOT_ABSOLUTE)
 
 
 def shares(files: DataFrame, host: str, backup: int) -> DataFrame:

@@ -39,12 +39,16 @@ def netbios_address(lines: DataFrame) -> DataFrame:
     return rows.groupBy("host").agg(F.min_by("ip", F.struct(~inside, "line_no")).alias("ip"))
 
 
+#: Fixed value: an entry of a report by address, as the tool prints it.
+_ENTRY = r"(?i)^\s*([\w\s-]+?)\s*<(\w{2})> - .*<ACTIVE>"
+
+
 def netbios_names(lines: DataFrame) -> DataFrame:
     """SRC-19: ip, hostname, username of reports by address: first active entry of kind 00 that is no group, last of kind 03.
 
     lines: ip, line_no, line. Without a hostname there is no row.
     """
-    entry = r"(?i)^\s*([\w\s-]+?)\s*<(\w{2})> - .*<ACTIVE>"
+    entry = _ENTRY
     rows = lines.filter(~F.col("line").rlike(r"(?i)<\w{2}> - <GROUP>")).select("ip", "line_no", F.lower(F.regexp_extract("line", entry, 1)).alias("name"), F.regexp_extract("line", entry, 2).alias("kind"))
     return rows.groupBy("ip").agg(
         F.expr("min_by(name, line_no) filter (where kind = '00')").alias("hostname"), F.coalesce(F.expr("max_by(name, line_no) filter (where kind = '03')"), F.lit("")).alias("username")
