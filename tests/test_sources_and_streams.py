@@ -37,6 +37,19 @@ def test_progress_as_a_stream(spark, tmp_path):
     assert (row.percent, row.speed) == (45.0, 12 * 1024**2)
 
 
+def test_ended_tasks_are_forgotten(spark, tmp_path):
+    source = tmp_path / "in"
+    line = OUTPUT.split("\n")[0]
+    schema = "task string, seq long, line string, ended boolean"
+    for rows in ([("t", 0, line, False), ("u", 0, line, True)], [("t", 1, "Number of files: 5 (reg: 5)", False), ("t", 2, line.replace("45%", "50%"), False), ("u", 1, "(xfr#9, to-chk=1/20)", False)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    query = progress.stream(progress.parsed(lines)).writeStream.format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    found = {(r.task, r.seq): (r.newFileCount, r.percent) for r in spark.table("ended").collect()}
+    assert found == {("t", 0): (3, 45.0), ("t", 2): (3, 50.0), ("u", 0): (3, 45.0), ("u", 1): (9, None)}
+
+
 def test_sampled(spark):
     df = spark.createDataFrame([("t", 0, 1, 10.0), ("t", 4, 2, 20.0), ("t", 6, 3, 30.0)], "task string, s long, seq long, percent double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     assert [(r.seq, r.percent) for r in progress.sampled(df).orderBy("seq").collect()] == [(2, 20.0), (3, 30.0)]

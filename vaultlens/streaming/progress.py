@@ -57,11 +57,12 @@ def final(rows: DataFrame, key: str = "task", order: str = "seq") -> DataFrame:
     return rows.groupBy(key).agg(*[F.expr(f"max_by({f}, {order}) filter (where {f} is not null)").alias(f) for f in FIELDS])
 
 
-def stream(rows: DataFrame, forget_ms: int = 86_400_000) -> DataFrame:
+def stream(rows: DataFrame, forget_ms: int | None = None) -> DataFrame:
     """The running record of each task as its lines arrive: task, seq and the fields, one row for each line that reports.
 
-    rows: a stream with columns task, seq and parsed fields. A task's lines of one batch are taken in the order of seq. A task
-    without lines for forget_ms is forgotten.
+    rows: a stream with columns task, seq and parsed fields. A task's lines of one batch are taken in the order of seq. A task is
+    forgotten with a line that has ended (where rows have this column), and with forget_ms also after so long without lines; a
+    query with the latter goes on for as long as tasks are known, so it isn't for availableNow.
     """
     numbers_ = ", ".join(f"{f} double" for f in FIELDS)
 
@@ -72,14 +73,19 @@ def stream(rows: DataFrame, forget_ms: int = 86_400_000) -> DataFrame:
         new = pd.concat(list(batches)).sort_values("seq")
         had = pd.DataFrame([state.get if state.exists else (None,) * len(FIELDS)], columns=list(FIELDS), dtype=float)
         record = pd.concat([had, new[list(FIELDS)].astype(float)]).ffill()
-        state.update(tuple(None if pd.isna(x) else float(x) for x in record.iloc[-1]))
-        state.setTimeoutDuration(forget_ms)
+        if "ended" in new and new["ended"].any():
+            if state.exists:
+                state.remove()
+        else:
+            state.update(tuple(None if pd.isna(x) else float(x) for x in record.iloc[-1]))
+            if forget_ms is not None:
+                state.setTimeoutDuration(forget_ms)
         out = record.iloc[1:].reset_index(drop=True)
         out.insert(0, "seq", new["seq"].to_numpy())
         out.insert(0, "task", key[0])
         yield out[new["emits"].to_numpy(dtype=bool)]
 
-    return rows.groupBy("task").applyInPandasWithState(fold, f"task string, seq long, {numbers_}", numbers_, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("task").applyInPandasWithState(fold, f"task string, seq long, {numbers_}", numbers_, "append", GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def sampled(updates: DataFrame, every: str = "5 seconds", key: str = "task", time: str = "ts", order: str = "seq") -> DataFrame:
