@@ -226,7 +226,7 @@ class Encoder:
     #: Bytes of white space, and those that may begin white space beyond ASCII.
     SPACES, LEADS = [*range(9, 14), *range(28, 33)], [0xC2, 0xE1, 0xE2, 0xE3]
     #: Bytes of text that are cut at once (more only for one text alone).
-    PIECE = 1 << 22
+    PIECE = 1 << 21
 
     def __init__(self, tokenizer: str, memory: int = 2_000_000):
         from tokenizers import Tokenizer, models, pre_tokenizers
