@@ -69,9 +69,10 @@ def test_links_hold_dense_classes_together(spark, block):
     assert groups(found) == groups(want)
 
 
-def test_long_chains_and_stars(spark):
+@pytest.mark.parametrize("room", [10, simhash.ROOM])
+def test_long_chains_and_stars(spark, room):
     chain = [(k, k + 1) for k in range(60)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000)]
-    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "a long, b long"), room).collect()}
     assert all(found[k] == 0 for k in range(61)) and all(found[k] == 1000 for k in range(1000, 1100))
 
 

@@ -42,6 +42,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
+#: Links that one task can join: with no more in all, no hub needs spreading.
+ROOM = 1_000_000
 #: Members of a posting that one task compares; longer postings go to one task for each pair of blocks.
 BLOCK = 4096
 
@@ -226,7 +228,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     return found.filter("key is null").select("a", "b").unionByName(far).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, room: int = ROOM) -> DataFrame:
     """node, root: the smallest node that can be reached, for every node of an edge."""
     spark = edges.sparkSession
     at = common.new_path(spark, "components")
@@ -237,10 +239,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: every larger neighbour goes to the smallest of its neighbourhood
         both, edges = now.unionByName(now.selectExpr("v as u", "u as v")), now.count()
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        large = common.by_key(both.filter("v > u"), least, ["u"], 2 * edges).selectExpr("v as u", "m as v").distinct()
+        joined = lambda rows: common.by_key(rows, least, ["u"], 2 * edges) if edges > room else rows.join(least.drop("n"), "u")  # noqa: E731, B023
+        large = joined(both.filter("v > u")).selectExpr("v as u", "m as v").distinct()
         # small star: a node's smaller neighbours, and it, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = common.by_key(large, least, ["u"], edges).selectExpr("if(v = m, u, v) as u", "m as v").filter("u <> v").distinct()
+        small = joined(large).selectExpr("if(v = m, u, v) as u", "m as v").filter("u <> v").distinct()
         step += 1
         small.write.parquet(f"{at}/{step}")
         common.remove(spark, f"{at}/{step - 1}")
