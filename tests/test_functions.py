@@ -77,6 +77,21 @@ def test_templates(spark):
     assert df.select(templates.render(F.col("t"), F.col("v"), ["a", "b"])).first()[0] == "c:\\x $1 undefined"
 
 
+def test_each_map_of_the_commands_is_worked_out_once(spark):
+    tools = spark.createDataFrame([({"t": "x"}, {"c": "${t} ${p}"}, {"p": "/${t}"}), (None, {"c": "${t} ${p}"}, None), ({"t": "x"}, None, {"p": "${\tt }"})], "tools map<string,string>, command map<string,string>, paths map<string,string>")
+    made = templates.commands(tools, {}, {"t": "y"})
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_concat") == 2 and plan.count("regexp_replace") == 2
+    want = [("c", "command", "x /x"), ("p", "path", "/x"), ("c", "command", "y ${p}"), ("p", "path", "x")]
+    assert sorted((r.name, r.kind, r.text) for r in made.collect()) == sorted(want)
+
+
+def test_tokens_with_and_without_spaces(spark):
+    df = spark.createDataFrame([("${a}${ a }${a\n}", {"a": "${ a }", "b": "1"}), ("${a}", {"a": "${b} ${ b}", "b": "\\1$0"}), ("a }", {"a": "x"}), (None, {"a": "x"})], "t string, v map<string,string>")
+    want = ["${ a }" * 3, "\\1$0 \\1$0", "a }", None]
+    assert [r[0] for r in df.select(templates.render(F.col("t"), F.col("v"))).collect()] == want
+
+
 @pytest.mark.parametrize(
     ("rule", "now", "after", "before"),
     [
