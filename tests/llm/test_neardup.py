@@ -1,6 +1,8 @@
 import random
 
 import corpus_pipeline
+import xxhash
+from pyspark.sql import functions as F
 from vaultlens.llm import neardup
 
 from .conftest import SCHEMA, prose
@@ -70,3 +72,34 @@ def test_none_and_wordless(spark, nothing):
     assert neardup.first_of_each(nothing).count() == 0
     docs = spark.createDataFrame([(2, None, "", "", 0), (1, " ", "", "", 0), (3, "one two", "", "", 0), (4, "ONE  two", "", "", 0)], SCHEMA)
     assert sorted(r.doc_id for r in neardup.first_of_each(docs).collect()) == [1, 3]
+
+
+def brute_bits(words):
+    """SimHash of a set of shingles."""
+    hashes = [xxhash.xxh64_intdigest(b" ".join(w), 42) for w in words]
+    return sum((2 * sum(h >> k & 1 for h in hashes) > len(hashes)) << k for k in range(64))
+
+
+def test_the_inverted_index_proposes_first(spark):
+    rng = random.Random(3)
+    bases = [prose(rng, 400) for _ in range(12)]
+    rows = list(enumerate(t for b in bases for t in (b, edited(rng, b, 1), edited(rng, b, 1), edited(rng, b, 30))))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA)
+    found = neardup.sets(docs)
+    of = {r.node: r.doc_id for r in found.collect()}
+    held = {k: brute_set(t) for k, t in rows}
+    bits = {k: brute_bits(x) for k, x in held.items()}
+    assert {r.doc_id: r.fp % 2**64 for r in found.collect()} == bits
+    near = {(a, b) for a in held for b in held if a < b and (bits[a] ^ bits[b]).bit_count() <= 4 and jaccard(held[a], held[b]) >= 0.8}
+    # without bands nothing but the index can propose
+    bare = found.withColumn("keys", F.array().cast("array<bigint>"))
+    links = {tuple(sorted((of[r.a], of[r.b]))) for r in neardup.linked(docs, bare).collect()}
+    assert links and links <= near and classes(held, links) == classes(held, near)
+
+
+def classes(held, links):
+    root = {k: k for k in held}
+    for _ in held:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root

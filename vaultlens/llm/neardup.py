@@ -1,19 +1,22 @@
-"""Near-duplicates by word shingles: MinHash bands propose pairs, the exact similarity of their shingle sets decides.
+"""Near-duplicates by word shingles: SimHash's inverted index and MinHash bands propose, the exact similarity of shingle sets decides.
 
-    sets(docs)            -> doc_id, text_hash, node (hash of the shingle set), size, keys (one for each band)
+    sets(docs)            -> doc_id, text_hash, node (hash of the shingle set), size, fp (SimHash), keys (one for each band)
+    indexed(docs, rows)   -> a, b: verified pairs of nodes from SimHash's inverted index
     linked(docs, rows)    -> a, b: verified pairs of nodes that hold every class together
     near_duplicates(docs) -> doc_id, text_hash, node, root
     first_of_each(docs)   -> one document of each class
 
 A document is the set of its five-word shingles; two documents are linked where the Jaccard
-similarity of their sets is at least 0.8. Sets agree in a band's ROWS minima with
+similarity of their sets is at least 0.8. False links are not made: every link is verified on the two texts (shingles by 64-bit hash).
+
+The operator's method comes first (see simhash): inverted index of positional bytes of the sets' fingerprints, count filter, verified bits, star
+contraction. It can't find all links, as a pair of similarity 0.8 differs in about ten of 64 bits, so the classes that it makes are
+then compared through MinHash bands. Sets agree in a band's ROWS minima with
 probability similarity ** ROWS, so a pair of similarity 0.8 shares none of the bands with probability
-(1 - 0.8 ** 5) ** 24 = 0.00007, a more similar one with less. False links are not made: every
-link is verified on the two texts (shingles by 64-bit hash).
+(1 - 0.8 ** 5) ** 24 = 0.00007, a more similar one with less.
 
 Documents of equal sets are one node. Members of a bucket are first compared with one
-member of it, then with a second; pairs that are still in different classes are then compared one by
-one, so that nothing is left out and a large class costs no square.
+member of it, then with a second; pairs that are still in different classes are then compared one by one.
 
 Edge cases: null or wordless texts are one class; fewer words than a shingle: the
 whole sequence is the shingle; equal rows share a class; an empty table gives no rows; extra columns are ignored.
@@ -78,11 +81,18 @@ def sets(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in each], np.uint64).view(np.int64)
             keys = np.concatenate([np.zeros(0, np.uint64), *[band_keys(s, bands, rows, seed) for s in each]]).view(np.int64)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32) * bands), pa.array(keys))
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes), pa.array([len(s) for s in each], pa.int32()), keys]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "keys"])
+            fps = np.array([simhash.majority(s) for s in each], np.uint64).view(np.int64)
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes), pa.array([len(s) for s in each], pa.int32()), pa.array(fps), keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "fp", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, node long, size int, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, node long, size int, fp long, keys array<long>")
+
+
+def texts_of(nodes: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, text: one text of each of the nodes."""
+    hashes = rows.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    return docs.select("text", F.xxhash64("text").alias("text_hash")).join(hashes, "text_hash").dropDuplicates(["node"]).select("node", "text")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -106,38 +116,44 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, least: float =
             near = [similarity(of(x, s), of(y, t)) >= least for x, y, s, t in zip(a, b, *texts)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    hashes = rows.join(need, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(hashes, "text_hash").dropDuplicates(["node"]).select("node", "text")
-    texts = common.stored(texts, "neardup")
+    texts = common.stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, rows), "neardup")
     left, right = texts.withColumnsRenamed({"node": "a", "text": "left"}), texts.withColumnsRenamed({"node": "b", "text": "right"})
     return common.stored(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "neardup")
 
 
+def indexed(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """a, b: the links of SimHash's inverted index whose sets are similar enough, each fingerprint's nodes held by the smallest of them."""
+    fps = common.stored(rows.select("fp", "node").distinct(), "neardup")
+    heads = common.stored(fps.groupBy("fp").agg(F.min("node").alias("head")), "neardup")
+    near = common.stored(simhash.links(heads), "neardup")
+    of = lambda c: heads.withColumnsRenamed({"fp": c, "head": f"_{c}"})
+    far = near.join(of("a"), "a").join(of("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    same = fps.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return verified(common.stored(far.unionByName(same).distinct(), "neardup"), docs, rows, least, shingle, seed)
+
+
 def linked(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, stars: int = STARS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """a, b: verified pairs of nodes, no fewer than hold each class together."""
     postings = rows.select("node", "size", F.explode("keys").alias("key"))
     company = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
     shared = common.stored(postings.join(company, "key", "left_semi").distinct(), "neardup")
-    links, tried = docs.sparkSession.createDataFrame([], "a long, b long"), docs.sparkSession.createDataFrame([], "a long, b long")
+    links, tried = indexed(docs, rows, least, shingle, seed), docs.sparkSession.createDataFrame([], "a long, b long")
     # sets of such different sizes can't be similar enough
     sized = F.expr(f"least(l.size, r.size) >= {least} * greatest(l.size, r.size) - 1e-6")
     for step in range(stars + 1):
-        now = shared.withColumn("root", F.col("node"))
-        if step:
-            roots = simhash.components(links).withColumnRenamed("node", "_node")
-            now = shared.join(roots, shared.node == roots._node, "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+        roots = simhash.components(links).withColumnRenamed("node", "_node")
+        now = shared.join(roots, shared.node == roots._node, "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
         mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        now = common.stored(now.join(mixed, "key", "left_semi"), "neardup")
-        left = now
+        now = common.stored(now.join(mixed, "key"), "neardup")
+        if now.isEmpty():
+            break
         if step < stars:
-            order = F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "size", "root")
-            left = now.groupBy("key").agg(F.min(order).alias("c")).select("key", "c.node", "c.size", "c.root")
-        joined = left.alias("l").join(now.alias("r"), F.expr("l.key = r.key and l.root <> r.root" + (" and l.node < r.node" if step == stars else ""))).filter(sized)
+            left, right = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "size", "root")).alias("c")).select("key", "c.node", "c.size", "c.root"), now
+        else:
+            left = right = now
+        joined = left.alias("l").join(right.alias("r"), F.expr("l.key = r.key and l.root <> r.root" + (" and l.node < r.node" if step == stars else ""))).filter(sized)
         pairs = joined.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
         pairs = common.stored(pairs.join(tried, ["a", "b"], "left_anti"), "neardup")
-        if pairs.isEmpty():
-            break
         tried, links = tried.unionByName(pairs), links.unionByName(verified(pairs, docs, rows, least, shingle, seed))
     return links
 

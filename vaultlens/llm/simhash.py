@@ -48,6 +48,14 @@ ROOM = 1_000_000
 BLOCK = 4096
 
 
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half the hashes."""
+    ones, n = np.zeros(64, np.int64), len(hashes)
+    for at in range(0, n, 1 << 16):  # long texts: a bounded number of bits at once
+        ones += np.unpackbits(hashes[at : at + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """A bit is set if it is set in over half the shingles' XXH64."""
     words = (text or b"").lower().split()
@@ -60,10 +68,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - shingle + 1
     hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):  # long texts: a bounded number of bits at once
-        ones += np.unpackbits(hashes[at : at + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
