@@ -103,3 +103,38 @@ def classes(held, links):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
     return root
+
+
+def crowd(n, seed=4):
+    """Copies of one text, some near it, more of them similar to it but not near, and two near pairs apart from the rest."""
+    rng = random.Random(seed)
+    base = prose(rng, 200)
+    rows = [edited(rng, base, 1 + k % 9) for k in range(n - 4)]
+    for far in (edited(rng, base, 12), edited(rng, base, 12)):
+        rows += [far, far + " end"]
+    return list(enumerate(rows))
+
+
+def test_a_large_group_makes_no_row_for_each_pair(spark, monkeypatch):
+    rows, made, verified = crowd(300), [], neardup.verified
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA)
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *rest: (made.append(pairs.count()), verified(pairs, *rest))[1])
+    found = neardup.sets(docs)
+    held, of = {k: brute_set(t) for k, t in rows}, {r.node: r.doc_id for r in found.collect()}
+    links = {tuple(sorted((of[r.a], of[r.b]))) for r in neardup.linked(docs, found, stars=0).collect()}
+    want = {(a, b) for a in held for b in held if a < b and jaccard(held[a], held[b]) >= 0.8}
+    assert links <= want and classes(held, links) == classes(held, want)
+    assert sum(made) < 300 * 299 / 8, made
+    assert {r.doc_id for r in neardup.first_of_each(docs).collect()} == brute_kept(rows)
+
+
+def test_blocks_compare_all_pairs(spark):
+    rows = crowd(90)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA)
+    found = neardup.sets(docs)
+    held, of = {k: brute_set(t) for k, t in rows}, {r.node: r.doc_id for r in found.collect()}
+    members = found.select(F.lit(1).alias("key"), "node", "size", F.col("node").alias("root"))
+    for room in (1024, 1 << 18):
+        links = {tuple(sorted((of[r.a], of[r.b]))) for r in neardup.in_blocks(members, docs, found, room=room).collect()}
+        want = {(a, b) for a in held for b in held if a < b and jaccard(held[a], held[b]) >= 0.8}
+        assert links <= want and classes(held, links) == classes(held, want)

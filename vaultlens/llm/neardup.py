@@ -16,7 +16,10 @@ probability similarity ** ROWS, so a pair of similarity 0.8 shares none of the b
 (1 - 0.8 ** 5) ** 24 = 0.00007, a more similar one with less.
 
 Documents of equal sets are one node. Members of a bucket are first compared with one
-member of it, then with a second; pairs that are still in different classes are then compared one by one.
+member of it, then with a second, so that a large class costs no square. What is still in different classes then is compared
+all with all, and nothing is left out: as pairs in buckets of up to SMALL members, which gives less than SMALL / 2 rows for each
+member; in blocks of members that are dealt over tasks in larger ones. A task gets two blocks, counts all their
+common shingles as a product of matrices and returns a spanning forest of the links, so that no row is made for a pair that isn't linked.
 
 Edge cases: null or wordless texts are one class; fewer words than a shingle: the
 whole sequence is the shingle; equal rows share a class; an empty table gives no rows; extra columns are ignored.
@@ -38,6 +41,12 @@ SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 24, 5, 42
 STARS = 2
 #: Sets that a verifying task remembers.
 REMEMBERED = 256
+#: Members of a bucket whose pairs become rows; larger ones are compared in blocks.
+SMALL = 32
+#: Shingles of a block, a set counted as LIGHT at least: no more than about ROOM / LIGHT sets meet in a matrix.
+ROOM, LIGHT = 1 << 18, 128
+#: Shingles that are columns of a matrix at once.
+COLUMNS = 2048
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -62,6 +71,29 @@ def similarity(left: np.ndarray, right: np.ndarray) -> float:
     return both / (len(left) + len(right) - both)
 
 
+def near_pairs(left: list[np.ndarray], right: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places i, j of the sets that are similar enough, from the exact numbers of common elements of all pairs."""
+    sizes = [np.array([len(s) for s in side], np.int64) for side in (left, right)]
+    elements, column, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *left, *right]), return_inverse=True, return_counts=True)
+    place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]  # an element of one set is common to none
+    sides = []
+    for n, at in zip(sizes, (place[: sizes[0].sum()], place[sizes[0].sum() :])):
+        row = np.repeat(np.arange(len(n)), n)[at >= 0]
+        order = np.argsort(at[at >= 0], kind="stable")
+        sides.append((row[order], at[at >= 0][order]))
+    both = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(place.max(initial=-1)) + 1, COLUMNS):
+        held = []
+        for n, (row, at) in zip(sizes, sides):
+            part = slice(*np.searchsorted(at, [first, first + COLUMNS]))
+            matrix = np.zeros((len(n), COLUMNS), np.float32)
+            matrix[row[part], at[part] - first] = 1
+            held.append(matrix)
+        both += held[0] @ held[1].T
+    either = sizes[0][:, None] + sizes[1][None, :] - both.astype(np.int64)
+    return np.nonzero(np.where(either, both / np.maximum(either, 1), 1.0) >= least)
+
+
 def band_keys(hashes: np.ndarray, bands: int, rows: int, seed: int) -> np.ndarray:
     """One 64-bit key for each band of MinHash values."""
     rng = np.random.default_rng(seed)
@@ -132,7 +164,30 @@ def indexed(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, shingle
     return verified(common.stored(far.unionByName(same).distinct(), "neardup"), docs, rows, least, shingle, seed)
 
 
-def linked(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, stars: int = STARS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def in_blocks(members: DataFrame, docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, seed: int = SEED, room: int = ROOM) -> DataFrame:
+    """a, b: a spanning forest of the links between members (key, node, size, root) of one bucket and different roots, for each two blocks."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block, node = table.column("block").to_numpy(), table.column("node").to_numpy()
+        root = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
+        texts = table.column("text").cast(pa.binary())
+        left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        each = {k: shingles(texts[k].as_py(), shingle, seed) for k in {*left.tolist(), *right.tolist()}}
+        i, j = near_pairs([each[k] for k in left.tolist()], [each[k] for k in right.tolist()], least)
+        i, j = left[i], right[j]
+        i, j = simhash._forest(*[x[root[i] != root[j]] for x in (i, j)])
+        return pa.table({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+    weights = members.groupBy("key").agg(F.ceil(F.sum(F.greatest("size", F.lit(LIGHT))) / room).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node", F.lit(seed)), "blocks").cast("int")
+    pairs = F.expr("transform(sequence(0, blocks - 1), other -> struct(least(block, other) as l, greatest(block, other) as r))")
+    cut = members.join(weights, "key").select("key", "node", "root", block.alias("block"), "blocks")
+    dealt = cut.select("key", "node", "root", "block", F.explode(pairs).alias("p")).select("key", "p.l", "p.r", "node", "root", "block")
+    texts = common.stored(texts_of(members, docs, rows), "neardup")
+    return common.stored(dealt.join(texts, "node").groupBy("key", "l", "r").applyInArrow(run, "a long, b long").distinct(), "neardup")
+
+
+def linked(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, stars: int = STARS, shingle: int = SHINGLE, seed: int = SEED, small: int = SMALL) -> DataFrame:
     """a, b: verified pairs of nodes, no fewer than hold each class together."""
     postings = rows.select("node", "size", F.explode("keys").alias("key"))
     company = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
@@ -143,14 +198,16 @@ def linked(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY, stars: i
     for step in range(stars + 1):
         roots = simhash.components(links).withColumnRenamed("node", "_node")
         now = shared.join(roots, shared.node == roots._node, "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-        mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
         now = common.stored(now.join(mixed, "key"), "neardup")
         if now.isEmpty():
             break
         if step < stars:
             left, right = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "size", "root")).alias("c")).select("key", "c.node", "c.size", "c.root"), now
         else:
-            left = right = now
+            left = right = now.filter(F.col("n") <= small)
+            if not (large := now.filter(F.col("n") > small)).isEmpty():
+                links = links.unionByName(in_blocks(large, docs, rows, least, shingle, seed))
         joined = left.alias("l").join(right.alias("r"), F.expr("l.key = r.key and l.root <> r.root" + (" and l.node < r.node" if step == stars else ""))).filter(sized)
         pairs = joined.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
         pairs = common.stored(pairs.join(tried, ["a", "b"], "left_anti"), "neardup")
